@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import constants as C
+from .settle import settle
 from .strings import any_of
 
 #: Unicode white space stripped from both ends.
@@ -89,8 +90,12 @@ def add_domain_parts(df: DataFrame) -> DataFrame:
         F.col("tld") != "", F.concat_ws(".", "domain_base", "tld")).otherwise(F.col("domain_base")))
 
 
+DOMAIN_COLUMNS = ("is_ip", "tld", "domain_base", "rule_domain", "reg_domain")
+
+
 def host_columns(df: DataFrame, url: str = "url") -> DataFrame:
-    return add_domain_parts(parse_url_columns(df, url))
+    """All parsed and domain columns, computed once per row."""
+    return settle(add_domain_parts(parse_url_columns(df, url)), *PARSED_COLUMNS, *DOMAIN_COLUMNS)
 
 
 def encode_component(text: Column) -> Column:

@@ -77,7 +77,9 @@ def add_rule_columns(df: DataFrame, rules: RuleSet = SERVER_RULES) -> DataFrame:
     out = out.withColumn("rule_near_idx", near_brand(c("dom")))
     prefix, suffix = affix_words(c("dom"), rules.affix_words)
     out = out.withColumns({
-        "rule_near_brand": F.element_at(S.str_array(C.BRANDS), c("rule_near_idx")),
+        # the guard is needed: an ANSI element_at does not propagate a NULL index
+        "rule_near_brand": F.when(c("rule_near_idx").isNotNull(), F.element_at(
+            S.str_array(C.BRANDS), c("rule_near_idx"))),
         "rule_hyphen": F.coalesce(
             hyphen_hit(c("dom"), c("rule_near_idx").isNotNull(), rules.hyphen_words), F.lit(False)),
         "rule_prefix": prefix,

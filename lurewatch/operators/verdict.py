@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as C
 from ..functions import urls as U
+from ..functions.settle import settle
 from .rules import BROWSER_RULES, SERVER_RULES, RuleSet, add_rule_columns, score_and_reason
 from .scoring import heuristic_score
 
@@ -79,8 +80,9 @@ def add_gates(df: DataFrame, url: str = "url", rules: RuleSet = SERVER_RULES,
         "is_whitelisted", ~F.col("is_malformed") & U.suffix_matches(F.col("host"), whitelist))
     keep = base.columns
     score, reason = score_and_reason(rules)
-    return add_rule_columns(base, rules).select(
+    out = add_rule_columns(base, rules).select(
         *keep, score.alias("rule_score"), reason.alias("rule_reason"))
+    return settle(out, "is_whitelisted", "rule_score", "rule_reason")
 
 
 def _fmt(col: Column, digits: int) -> Column:
@@ -92,7 +94,8 @@ def _decide(df: DataFrame, keep: list[str], cfg: dict[str, Column], stage2: bool
             run_vision: bool) -> DataFrame:
     """Turn gates, ``lex_prob`` and (optionally) ``vis_*`` columns into verdict rows."""
     c = F.col
-    out = df.withColumn("_combined", combined_risk(c("lex_prob"), c("rule_score")))
+    out = settle(df.withColumn("_combined", combined_risk(c("lex_prob"), c("rule_score"))),
+                 "lex_prob", "_combined")
     fast = fast_path_verdict(c("_combined"), cfg)
     stage = (F.when(c("is_malformed"), F.lit("error"))
              .when(c("is_whitelisted"), F.lit("whitelist"))
@@ -120,6 +123,7 @@ def _decide(df: DataFrame, keep: list[str], cfg: dict[str, Column], stage2: bool
                          .when(c("stage") == "rule", F.lit("Phishing"))
                          .when(c("stage") == "fast_path", fast)
                          .otherwise(verdict_of(c("risk"), cfg)))
+    out = settle(out, "stage", "risk", "verdict")
     lexical = F.struct(F.lit("Lexical").alias("name"), c("lex_prob").alias("probability"),
                        F.lit(True).alias("used"),
                        F.lit("score over URL string features").alias("detail"))

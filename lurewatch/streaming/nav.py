@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -127,21 +128,22 @@ def ttl_dedup(df: DataFrame, ttl_seconds: int = TTL_SECONDS, hot_rows: int = 50_
     """
     ttl_us = ttl_seconds * 1_000_000
     times = (df.filter(F.col("url").isNotNull() & F.col("ts").isNotNull())
-             .select("url", F.unix_micros("ts").alias("t")).distinct())
+             .select("url", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).distinct())
+    as_times = partial(_as_times, ts_type=dict(df.dtypes)["ts"])
     sizes = times.groupBy("url").agg(F.count(F.lit(1)).alias("_n"))
     hot_urls = sizes.filter(F.col("_n") > hot_rows).select("url")
     if hot_urls.isEmpty():
-        return _as_times(_fold_chain(times, ttl_us))
+        return as_times(_fold_chain(times, ttl_us))
     from ..operators.joins import broadcast_if_small
 
     hot_urls = broadcast_if_small(hot_urls)
     cold = times.join(hot_urls, "url", "left_anti")
     hot = times.join(hot_urls, "url", "left_semi")
-    return _as_times(_fold_chain(cold, ttl_us).unionByName(_double_chain(hot, ttl_us)))
+    return as_times(_fold_chain(cold, ttl_us).unionByName(_double_chain(hot, ttl_us)))
 
 
-def _as_times(df: DataFrame) -> DataFrame:
-    return df.select("url", F.timestamp_micros("t").alias("ts"))
+def _as_times(df: DataFrame, ts_type: str) -> DataFrame:
+    return df.select("url", F.timestamp_micros("t").cast(ts_type).alias("ts"))
 
 
 def _fold_chain(times: DataFrame, ttl_us: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import signal
 import sys
 import time
 from collections import Counter
@@ -27,6 +28,9 @@ def rows_of(columns, rows):
     return Counter(tuple(plain(r[i]) for i in order) for r in rows)
 
 
+TIMES = {}
+
+
 def connect(sf_dir):
     import duckdb
 
@@ -40,8 +44,10 @@ def connect(sf_dir):
 
 def compare(spark, con, sf_dir, name, query, sql):
     """None when equal, else a short description of the difference."""
+    t = time.time()
     df = query(spark, sf_dir)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    TIMES["spark"] = time.time() - t
     cur = con.execute(sql)
     cols = [c[0] for c in cur.description]
     if sorted(cols) != sorted(df.columns):
@@ -53,6 +59,10 @@ def compare(spark, con, sf_dir, name, query, sql):
     return None if sum(got.values()) else "no rows"
 
 
+def _too_slow(*_):
+    raise TimeoutError("query took too long")
+
+
 def main():
     from tests.conftest import make_session
 
@@ -61,8 +71,11 @@ def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(QUERIES)
     spark, con, bad = make_session(), connect(sf_dir), 0
+    limit = int(os.environ.get("QUERY_SECONDS", "90"))
+    signal.signal(signal.SIGALRM, _too_slow)
     for name in names:
         t = time.time()
+        signal.alarm(limit)
         try:
             if name in ORACLE:
                 msg = compare(spark, con, sf_dir, name, QUERIES[name], ORACLE[name])
@@ -70,8 +83,9 @@ def main():
                 msg = None if QUERIES[name](spark, sf_dir).count() else "no rows"
         except Exception as e:  # report and go on with the next query
             msg = f"{type(e).__name__}: {str(e)[:1500]}"
+        signal.alarm(0)
         bad += msg is not None
-        print(f"{'ok  ' if msg is None else 'FAIL'} {name} {time.time() - t:.1f}s {msg or ''}", flush=True)
+        print(f"{'ok  ' if msg is None else 'FAIL'} {name} {time.time() - t:.1f}s spark {TIMES.get('spark', 0):.1f}s {msg or ''}", flush=True)
     print(f"{len(names) - bad}/{len(names)} ok")
 
 
