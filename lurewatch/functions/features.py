@@ -8,7 +8,8 @@ the dictionaries are small literals.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
@@ -37,8 +38,8 @@ def _affix_flag(d: Column) -> Column:
     tail = F.regexp_extract(d, r"[.\-]([^.\-]*)$", 1)
     rest_after = F.substr(d, F.length(head) + 2)
     rest_before = F.substr(d, F.lit(1), F.length(d) - F.length(tail) - 1)
-    return ((head.isin(*C.SUSPICIOUS_PREFIXES) & B.brandish(rest_after))
-            | (tail.isin(*C.SUSPICIOUS_SUFFIXES) & B.brandish(rest_before)))
+    return ((head.rlike(S.exactly(C.SUSPICIOUS_PREFIXES)) & B.brandish(rest_after))
+            | (tail.rlike(S.exactly(C.SUSPICIOUS_SUFFIXES)) & B.brandish(rest_before)))
 
 
 def _hyphen_flag(d: Column) -> Column:
@@ -51,7 +52,7 @@ def _hyphen_flag(d: Column) -> Column:
     second = F.substring_index(d, "-", -1)
     telling = first.rlike(S.any_of(C.COMBO_WORDS))
     return (S.count_of(d, "-") == 1) & (
-        (first.isin(*C.BRANDS) & (second != ""))
+        (first.rlike(S.exactly(C.BRANDS)) & (second != ""))
         | (telling & B.other_brand_near([first, second], first, C.BRANDS)))
 
 
@@ -65,7 +66,8 @@ def _near_flag(d: Column, dist: Column, match: Column) -> Column:
         match, near_at < match_at).otherwise(F.lit(True))
 
 
-def feature_expressions(whitelist: Sequence[str] = C.STARTER_WHITELIST) -> dict[str, Column]:
+def feature_expressions(whitelist: Sequence[str] = C.STARTER_WHITELIST,
+                        names: Sequence[str] = C.FEATURE_NAMES) -> dict[str, Column]:
     """Feature name -> expression over the columns of ``prepare``."""
     c = F.col
     u, nl, h, p, q = c("u"), c("netloc"), c("host"), c("path"), c("query")
@@ -86,98 +88,100 @@ def feature_expressions(whitelist: Sequence[str] = C.STARTER_WHITELIST) -> dict[
     no_digits = F.regexp_replace(d, r"\p{Nd}", "")
     brand_in = B.contains_brand(d)
     brand_match = B.equals_or_one_longer(d)
-    known = h.isin(*whitelist) | (h.contains(".") & ~ip & c("reg_domain").isin(*whitelist))
-
-    e: dict[str, Column] = {
-        "url_length": F.length(u),
-        "hostname_length": F.length(h),
-        "path_length": F.length(p),
-        "num_digits": S.count_match(u, r"\p{Nd}"),
-        "num_subdomains": F.greatest(F.size(labels) - 2, F.lit(0)),
-        "has_ip_host": _flag(ip),
-        "has_https": _flag(c("scheme") == "https"),
-        "has_port": _flag(nl.contains(":")),
-        "suspicious_keyword_count": S.keyword_hits(lu, C.SUSPICIOUS_KEYWORDS),
-        "has_suspicious_tld": _flag(tld.isin(*C.SUSPICIOUS_TLDS)),
-        "domain_entropy": S.entropy(d),
-        "url_shortener": _flag(h.isin(*C.SHORTENERS)),
+    known = lambda: S.in_list("host", whitelist) | (
+        h.contains(".") & ~ip & S.in_list("reg_domain", whitelist))
+    shortener = lambda: S.in_list("host", C.SHORTENERS)
+
+    e: dict[str, Callable[[], Column]] = {
+        "url_length": lambda: F.length(u),
+        "hostname_length": lambda: F.length(h),
+        "path_length": lambda: F.length(p),
+        "num_digits": lambda: S.count_match(u, r"\p{Nd}"),
+        "num_subdomains": lambda: F.greatest(F.size(labels) - 2, F.lit(0)),
+        "has_ip_host": lambda: _flag(ip),
+        "has_https": lambda: _flag(c("scheme") == "https"),
+        "has_port": lambda: _flag(nl.contains(":")),
+        "suspicious_keyword_count": lambda: S.keyword_hits("lower(u)", C.SUSPICIOUS_KEYWORDS),
+        "has_suspicious_tld": lambda: _flag(S.in_list("tld", C.SUSPICIOUS_TLDS)),
+        "domain_entropy": lambda: S.entropy(d),
+        "url_shortener": lambda: _flag(shortener()),
         # v2
-        "digit_ratio": _per(S.count_match(u, r"\p{Nd}"), u),
-        "hex_encoded_count": hex_escapes,
-        "max_consecutive_special": S.max_special_run(u),
-        "brand_in_domain": _flag(brand_in),
-        "brand_domain_match": _flag(brand_match),
-        "has_port_number": _flag(port_is_number & ~port.isin("80", "443")),
-        "has_single_char_subdomain": _flag(h.rlike(r"(?:^|\.)[^.]\.[^.]*\.")),
-        "path_depth": segments,
-        "query_length": F.length(q),
-        "has_encoded_chars": _flag(u.contains("%") | lu.contains("&amp;")),
-        "domain_digit_count": domain_digits,
-        "hostname_hyphen_count": S.count_of(h, "-"),
+        "digit_ratio": lambda: _per(S.count_match(u, r"\p{Nd}"), u),
+        "hex_encoded_count": lambda: hex_escapes,
+        "max_consecutive_special": lambda: S.max_special_run(u),
+        "brand_in_domain": lambda: _flag(brand_in),
+        "brand_domain_match": lambda: _flag(brand_match),
+        "has_port_number": lambda: _flag(port_is_number & ~port.isin("80", "443")),
+        "has_single_char_subdomain": lambda: _flag(h.rlike(r"(?:^|\.)[^.]\.[^.]*\.")),
+        "path_depth": lambda: segments,
+        "query_length": lambda: F.length(q),
+        "has_encoded_chars": lambda: _flag(u.contains("%") | lu.contains("&amp;")),
+        "domain_digit_count": lambda: domain_digits,
+        "hostname_hyphen_count": lambda: S.count_of(h, "-"),
         # v3
-        "tld_trust_score": F.when(tld == "", F.lit(0.0))
-        .when(tld.isin(*C.TRUSTED_TLDS), F.lit(1.0))
-        .when(tld.isin(*C.SUSPICIOUS_TLDS), F.lit(0.0)).otherwise(F.lit(0.5)),
-        "is_free_hosting": _flag(U.suffix_matches(h, C.FREE_HOSTING)),
-        "domain_has_digit_insert": _flag(
+        "tld_trust_score": lambda: F.when(tld == "", F.lit(0.0))
+        .when(S.in_list("tld", C.TRUSTED_TLDS), F.lit(1.0))
+        .when(S.in_list("tld", C.SUSPICIOUS_TLDS), F.lit(0.0)).otherwise(F.lit(0.5)),
+        "is_free_hosting": lambda: _flag(U.suffix_matches("host", C.FREE_HOSTING)),
+        "domain_has_digit_insert": lambda: _flag(
             d.rlike(r"\p{Nd}") & (F.length(no_digits) >= 3) & S.near_any(no_digits, C.BRANDS, 2)),
-        "registered_domain_length": F.length(c("reg_domain")),
+        "registered_domain_length": lambda: F.length(c("reg_domain")),
         # v4
-        "vowel_ratio": vowel_ratio,
-        "char_repetition_ratio": F.lit(1.0) - _per(S.distinct_chars(d), d),
-        "has_admin_path": _flag(lp.rlike(S.any_of(C.ADMIN_PATHS))),
-        "has_suspicious_path": _flag(lp.rlike(S.any_of(C.SUSPICIOUS_PATHS))),
-        "brand_in_path": _flag(brand_in & B.contains_brand(lp)),
-        "randomness_score": _per(S.distinct_chars(random_text), random_text),
-        "host_to_url_ratio": _per(F.length(h), u),
-        "path_to_url_ratio": _per(F.length(p), u),
-        "num_query_params": F.when(q == "", F.lit(0)).otherwise(S.count_of(q, "&") + 1),
-        "has_fragment": _flag(u.contains("#")),
-        "max_domain_word_length": longest_word,
-        "num_domain_words": F.size(words),
-        "tld_length": F.length(tld),
-        "path_has_numbers": S.count_match(p, r"\p{Nd}"),
-        "has_double_slash_path": _flag(p.contains("//")),
-        "path_entropy": S.entropy(bare_path),
-        "domain_vowel_consonant_ratio": vowels.cast("double")
+        "vowel_ratio": lambda: vowel_ratio,
+        "char_repetition_ratio": lambda: F.lit(1.0) - _per(S.distinct_chars(d), d),
+        "has_admin_path": lambda: _flag(lp.rlike(S.any_of(C.ADMIN_PATHS))),
+        "has_suspicious_path": lambda: _flag(lp.rlike(S.any_of(C.SUSPICIOUS_PATHS))),
+        "brand_in_path": lambda: _flag(brand_in & B.contains_brand(lp)),
+        "randomness_score": lambda: _per(S.distinct_chars(random_text), random_text),
+        "host_to_url_ratio": lambda: _per(F.length(h), u),
+        "path_to_url_ratio": lambda: _per(F.length(p), u),
+        "num_query_params": lambda: F.when(q == "", F.lit(0)).otherwise(S.count_of(q, "&") + 1),
+        "has_fragment": lambda: _flag(u.contains("#")),
+        "max_domain_word_length": lambda: longest_word,
+        "num_domain_words": lambda: F.size(words),
+        "tld_length": lambda: F.length(tld),
+        "path_has_numbers": lambda: S.count_match(p, r"\p{Nd}"),
+        "has_double_slash_path": lambda: _flag(p.contains("//")),
+        "path_entropy": lambda: S.entropy(bare_path),
+        "domain_vowel_consonant_ratio": lambda: vowels.cast("double")
         / F.greatest(F.length(d) - vowels, F.lit(1)),
-        "num_special_in_path": S.count_match(p, r"[^\p{L}\p{N}/.]"),
-        "has_long_query": _flag(F.length(q) > 100),
+        "num_special_in_path": lambda: S.count_match(p, r"[^\p{L}\p{N}/.]"),
+        "has_long_query": lambda: _flag(F.length(q) > 100),
         # v5
-        "is_known_legitimate": _flag(known),
-        "domain_name_in_whitelist": _flag(~known & U.suffix_matches(h, whitelist)),
+        "is_known_legitimate": lambda: _flag(known()),
+        "domain_name_in_whitelist": lambda: _flag(~known() & U.suffix_matches("host", whitelist)),
         # v6
-        "brand_near_match": _flag(_near_flag(d, c("brand_distances"), brand_match)),
-        "brand_hyphenated_domain": _flag(_hyphen_flag(d)),
-        "suspicious_prefix_suffix": _flag(_affix_flag(d)),
-        "has_non_ascii_chars": _flag(d.rlike(r"[^\x00-\x7F]")),
-        "short_unknown_domain": _flag(
-            (F.length(d) < 12) & ~h.isin(*C.SHORTENERS) & ~known & ~ip
+        "brand_near_match": lambda: _flag(_near_flag(d, c("brand_distances"), brand_match)),
+        "brand_hyphenated_domain": lambda: _flag(_hyphen_flag(d)),
+        "suspicious_prefix_suffix": lambda: _flag(_affix_flag(d)),
+        "has_non_ascii_chars": lambda: _flag(d.rlike(r"[^\x00-\x7F]")),
+        "short_unknown_domain": lambda: _flag(
+            (F.length(d) < 12) & ~shortener() & ~known() & ~ip
             & ((vowel_ratio < 0.3) | (S.entropy(d) > 3.0))),
         # v7
-        "domain_consonant_cluster_ratio": _per(S.max_consonant_run(d), d),
-        "url_encoding_density": _per(hex_escapes, u),
-        "domain_starts_with_digit": _flag(d.rlike(r"^\p{Nd}")),
-        "domain_ends_with_digit": _flag(d.rlike(r"\p{Nd}$")),
-        "path_has_file_extension": _flag(p.rlike(r"\.[a-zA-Z]{2,5}$")),
-        "has_suspicious_file_ext": _flag(lp.rlike("(?:" + S.any_of(C.SUSPICIOUS_EXTENSIONS) + ")$")),
-        "domain_has_repeated_chars": _flag(F.length(d) != S.distinct_chars(d)),
-        "domain_avg_word_length": longest_word,
-        "path_to_domain_ratio": _per(F.length(p), d),
-        "has_double_scheme": _flag(lu.contains("httphttp") | lu.contains("httpshttps")),
-        "brand_min_levenshtein": F.when(d == "", F.lit(10)).otherwise(
+        "domain_consonant_cluster_ratio": lambda: _per(S.max_consonant_run(d), d),
+        "url_encoding_density": lambda: _per(hex_escapes, u),
+        "domain_starts_with_digit": lambda: _flag(d.rlike(r"^\p{Nd}")),
+        "domain_ends_with_digit": lambda: _flag(d.rlike(r"\p{Nd}$")),
+        "path_has_file_extension": lambda: _flag(p.rlike(r"\.[a-zA-Z]{2,5}$")),
+        "has_suspicious_file_ext": lambda: _flag(lp.rlike("(?:" + S.any_of(C.SUSPICIOUS_EXTENSIONS) + ")$")),
+        "domain_has_repeated_chars": lambda: _flag(F.length(d) != S.distinct_chars(d)),
+        "domain_avg_word_length": lambda: longest_word,
+        "path_to_domain_ratio": lambda: _per(F.length(p), d),
+        "has_double_scheme": lambda: _flag(lu.contains("httphttp") | lu.contains("httpshttps")),
+        "brand_min_levenshtein": lambda: F.when(d == "", F.lit(10)).otherwise(
             F.least(F.lit(10), F.array_min(c("brand_distances")))),
-        "domain_digit_ratio": _per(domain_digits, d),
-        "path_segment_count": segments,
-        "query_has_encoded": _flag(q.contains("%")),
-        "has_suspicious_port": _flag(
+        "domain_digit_ratio": lambda: _per(domain_digits, d),
+        "path_segment_count": lambda: segments,
+        "query_has_encoded": lambda: _flag(q.contains("%")),
+        "has_suspicious_port": lambda: _flag(
             port_is_number & ~F.ltrim(port, F.lit("0")).isin("80", "443", "8080", "8443")),
     }
     for name, ch in (("num_dots", "."), ("num_hyphens", "-"), ("num_underscores", "_"),
                      ("num_slashes", "/"), ("num_question", "?"), ("num_equal", "="),
                      ("num_at", "@"), ("num_percent", "%")):
-        e[name] = S.count_of(u, ch)
-    return {n: e[n].cast("double") for n in C.FEATURE_NAMES}
+        e[name] = partial(S.count_of, u, ch)
+    return {n: e[n]().cast("double") for n in names}
 
 
 def prepare(df: DataFrame, url: str = "url") -> DataFrame:
@@ -188,7 +192,7 @@ def prepare(df: DataFrame, url: str = "url") -> DataFrame:
 def extract_features(df: DataFrame, names: Sequence[str] = C.FEATURE_NAMES, url: str = "url",
                      whitelist: Sequence[str] = C.STARTER_WHITELIST) -> DataFrame:
     """Add the named feature columns to ``df`` (input columns are kept)."""
-    exprs = feature_expressions(whitelist)
+    exprs = feature_expressions(whitelist, names)
     return prepare(df, url).select(
         *[F.col(n) for n in df.columns], *[exprs[n].alias(n) for n in names])
 

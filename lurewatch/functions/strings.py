@@ -7,9 +7,22 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, functions as F
 
 
+def sql_list(values: Iterable[str]) -> str:
+    """Comma-separated SQL string literals."""
+    return ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+
+
 def str_array(values: Iterable[str]) -> Column:
     """A constant string array (folded to one literal by the optimizer)."""
-    return F.array(*[F.lit(v) for v in values])
+    return F.expr(f"array({sql_list(values)})")
+
+
+def in_list(expression: str, values: Iterable[str]) -> Column:
+    """``expression IN (values)``; long lists become one hash-set lookup.
+
+    Takes SQL text so that a long list costs one call to the JVM, not one per value.
+    """
+    return F.expr(f"({expression}) IN ({sql_list(values)})")
 
 
 def any_of(words: Iterable[str]) -> str:
@@ -17,6 +30,11 @@ def any_of(words: Iterable[str]) -> str:
     return "|".join(w.replace(".", r"\.") for w in words)
 
 
+def exactly(words: Iterable[str]) -> str:
+    """Regex matching one of the literal ``words`` and nothing else."""
+    return f"^(?:{any_of(words)})$"
+
+
 def chars(s: Column) -> Column:
     """Characters of ``s`` in order; empty array for the empty string."""
     return F.filter(F.split(s, ""), lambda c: c != "")
@@ -64,12 +82,10 @@ def max_consonant_run(s: Column) -> Column:
     return longest_match(s, r"[^aeiou\P{L}]+")
 
 
-def keyword_hits(s: Column, keywords: Sequence[str]) -> Column:
-    """How many of ``keywords`` occur in ``s`` (each counted once)."""
-    total = F.lit(0)
-    for k in keywords:
-        total = total + s.contains(k).cast("int")
-    return total
+def keyword_hits(expression: str, keywords: Sequence[str]) -> Column:
+    """How many of ``keywords`` occur in the SQL expression (each counted once)."""
+    return F.expr(" + ".join(
+        f"CAST(contains({expression}, {sql_list([k])}) AS INT)" for k in keywords))
 
 
 def near_any(s: Column, words: Sequence[str], k: int) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import constants as C
 from .settle import settle
-from .strings import any_of
+from .strings import any_of, in_list
 
 #: Unicode white space stripped from both ends.
 _EDGE_SPACE = r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$"
@@ -126,8 +126,8 @@ def is_internal(url: Column) -> Column:
     return url.rlike("(?i)^(" + any_of(C.INTERNAL_SCHEMES) + ")://")
 
 
-def suffix_matches(host: Column, domains) -> Column:
-    """``host`` equals one of ``domains`` or is a sub-domain of one.
+def suffix_matches(host: str, domains) -> Column:
+    """Column ``host`` equals one of ``domains`` or is a sub-domain of one.
 
     A domain with k labels can only match the last k labels of the host, so
     the test is one set lookup per distinct label count: no join, no loop over
@@ -138,7 +138,7 @@ def suffix_matches(host: Column, domains) -> Column:
         by_labels.setdefault(d.count(".") + 1, []).append(d)
     hit = F.lit(False)
     for k, group in sorted(by_labels.items()):
-        hit = hit | F.substring_index(host, ".", -k).isin(*group)
+        hit = hit | in_list(f"substring_index({host}, '.', -{k})", group)
     return hit
 
 

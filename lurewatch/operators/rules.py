@@ -46,7 +46,7 @@ def hyphen_hit(dom: Column, near_fired: Column, words) -> Column:
     def wordy(x: Column) -> Column:
         return x.rlike(S.any_of(words)) | S.near_any(x, words, 1)
 
-    first_is_brand = first.isin(*C.BRANDS)
+    first_is_brand = S.in_list("substring_index(dom, '-', 1)", C.BRANDS)
     via_first = ((first_is_brand & wordy(second))
                  | (wordy(first) & B.other_brand_near([first], first, C.BRANDS)))
     via_second = ((first_is_brand & (F.levenshtein(second, first, 1) >= 0) & wordy(second))

@@ -77,7 +77,7 @@ def add_gates(df: DataFrame, url: str = "url", rules: RuleSet = SERVER_RULES,
               whitelist: Sequence[str] = C.STARTER_WHITELIST) -> DataFrame:
     """Parsed URL plus ``is_whitelisted, rule_score, rule_reason``."""
     base = U.host_columns(df, url).withColumn(
-        "is_whitelisted", ~F.col("is_malformed") & U.suffix_matches(F.col("host"), whitelist))
+        "is_whitelisted", ~F.col("is_malformed") & U.suffix_matches("host", whitelist))
     keep = base.columns
     score, reason = score_and_reason(rules)
     out = add_rule_columns(base, rules).select(

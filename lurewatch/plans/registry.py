@@ -360,7 +360,7 @@ kernel("str_char_counts", "", None,
        {"dots": O.count_char("u", "."), "hyphens": O.count_char("u", "-"), "slashes": O.count_char("u", "/"),
         "digits": O.count_re("u", "\\p{Nd}"), "escapes": O.count_re("u", "%[0-9a-fA-F]{2}")})
 kernel("keyword_count", "", None,
-       {"n": lambda: S.keyword_hits(F.lower(_u()), C.SUSPICIOUS_KEYWORDS)},
+       {"n": lambda: S.keyword_hits("lower(u)", C.SUSPICIOUS_KEYWORDS)},
        {"n": f"len(list_filter({O.lst(C.SUSPICIOUS_KEYWORDS)}, lambda k: contains(lower(u), k)))"})
 
 

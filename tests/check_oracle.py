@@ -66,6 +66,7 @@ def _too_slow(*_):
 def main():
     from tests.conftest import make_session
 
+    from lurewatch.plans import registry_jobs  # noqa: F401
     from lurewatch.plans.registry import ORACLE, QUERIES
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
