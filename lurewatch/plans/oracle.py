@@ -31,7 +31,12 @@ def ascii_(s: str) -> str:
 
 
 def lev(a: str, b: str) -> str:
-    return f"levenshtein({ascii_(a)}, {b})"
+    return f"levenshtein({a}, {b})"
+
+
+def both(cond: str, costly: str) -> str:
+    """``cond AND costly`` with the second part evaluated only where needed."""
+    return f"(CASE WHEN {cond} THEN {costly} ELSE false END)"
 
 
 def any_(values: str, var: str, cond: str) -> str:
@@ -106,8 +111,8 @@ def parsed(src: str) -> dict[str, str]:
             f"ELSE host END AS domain_base, "
             f"CASE WHEN len(labels) >= 3 THEN labels[-2] ELSE labels[1] END AS rule_domain FROM p5_{src}"),
         f"p_{src}": (
-            f"SELECT *, domain_base || CASE WHEN tld <> '' THEN '.' || tld ELSE '' END AS reg_domain "
-            f"FROM p6_{src}"),
+            f"SELECT *, domain_base || CASE WHEN tld <> '' THEN '.' || tld ELSE '' END AS reg_domain, "
+            f"{ascii_('domain_base')} AS da FROM p6_{src}"),
     }
 
 
@@ -127,25 +132,26 @@ def feature_sql() -> dict[str, str]:
     brand_in = any_(BR, "b", f"contains({d}, b)")
     match = f"contains({d}, b) AND length({d}) - length(b) <= 1"
     nodig = f"regexp_replace({d}, '\\p{{Nd}}', '', 'g')"
-    near_at = (f"coalesce(nullif(list_position(list_transform({BR}, lambda b: {lev(d, 'b')} BETWEEN 1 AND 2),"
+    near_at = (f"coalesce(nullif(list_position(list_transform({BR}, lambda b: {lev('da', 'b')} BETWEEN 1 AND 2),"
                f" true), 0), 9999)")
     match_at = f"coalesce(nullif(list_position(list_transform({BR}, lambda b: {match}), true), 0), 9999)"
-    p0, p1 = f"split_part({d}, '-', 1)", f"split_part({d}, '-', 2)"
+    nodig_a = "regexp_replace(da, '[0-9]', '', 'g')"
+    p0, p1 = "split_part(da, '-', 1)", "split_part(da, '-', 2)"
 
     def hyph(part: str) -> str:
         words_hit = any_(lst(C.COMBO_WORDS), "w", f"contains({p0}, w)")
-        return any_(BR, "b", f"({part} = b OR {lev(part, 'b')} <= 1) AND "
-                             f"(CASE WHEN {p0} <> b THEN {words_hit} ELSE {p1} <> '' END)")
+        return any_(BR, "b", both(f"{part} = b OR {lev(part, 'b')} <= 1",
+                                  f"(CASE WHEN {p0} <> b THEN {words_hit} ELSE {p1} <> '' END)"))
 
     def affix(words_, starts: bool) -> str:
         if starts:
             cond = f"starts_with({d}, w || '-') OR starts_with({d}, w || '.')"
-            rest = f"substr({d}, length(w) + 2)"
+            rest = "substr(da, length(w) + 2)"
         else:
             cond = f"ends_with({d}, '-' || w) OR ends_with({d}, '.' || w)"
-            rest = f"substr({d}, 1, length({d}) - length(w) - 1)"
+            rest = "substr(da, 1, length(da) - length(w) - 1)"
         inner = any_(BR, "b", f"contains({rest}, b) OR {lev(rest, 'b')} <= 1")
-        return any_(lst(words_), "w", f"({cond}) AND {inner}")
+        return any_(lst(words_), "w", both(cond, inner))
 
     e = {
         "url_length": "length(u)", "hostname_length": "length(host)", "path_length": "length(path)",
@@ -178,8 +184,8 @@ def feature_sql() -> dict[str, str]:
                            f"WHEN tld IN {tup(C.SUSPICIOUS_TLDS)} THEN 0.0 ELSE 0.5 END",
         "is_free_hosting": flag(suffix_in(h, C.FREE_HOSTING)),
         "domain_has_digit_insert": flag(
-            f"regexp_matches({d}, '\\p{{Nd}}') AND length({nodig}) >= 3 AND "
-            + any_(BR, "b", f"{lev(nodig, 'b')} <= 2")),
+            both(f"regexp_matches({d}, '\\p{{Nd}}') AND length({nodig}) >= 3",
+                 any_(BR, "b", f"{lev(nodig_a, 'b')} <= 2"))),
         "registered_domain_length": "length(reg_domain)",
         "vowel_ratio": per(vowels, d),
         "char_repetition_ratio": f"1.0 - {per(n_distinct(d), d)}",
@@ -201,7 +207,7 @@ def feature_sql() -> dict[str, str]:
         "domain_name_in_whitelist": flag(f"NOT {known} AND {suffix_in(h, C.STARTER_WHITELIST)}"),
         "brand_near_match": flag(f"length({d}) >= 3 AND {near_at} < 9999 AND {near_at} < {match_at}"),
         "brand_hyphenated_domain": flag(
-            f"len(string_split({d}, '-')) = 2 AND ({hyph(p0)} OR {hyph(p1)})"),
+            both(f"len(string_split({d}, '-')) = 2", f"({hyph(p0)} OR {hyph(p1)})")),
         "suspicious_prefix_suffix": flag(
             f"{affix(C.SUSPICIOUS_PREFIXES, True)} OR {affix(C.SUSPICIOUS_SUFFIXES, False)}"),
         "has_non_ascii_chars": flag(f"regexp_matches({d}, '[^\\x00-\\x7F]')"),
@@ -219,7 +225,7 @@ def feature_sql() -> dict[str, str]:
         "path_to_domain_ratio": per("length(path)", d),
         "has_double_scheme": flag(f"contains({lu}, 'httphttp') OR contains({lu}, 'httpshttps')"),
         "brand_min_levenshtein": f"CASE WHEN {d} = '' THEN 10 ELSE least(10, list_min("
-                                 f"list_transform({BR}, lambda b: {lev(d, 'b')}))) END",
+                                 f"list_transform({BR}, lambda b: {lev('da', 'b')}))) END",
         "domain_digit_ratio": per(count_re(d, "\\p{Nd}"), d),
         "path_segment_count": segs, "query_has_encoded": flag("contains(query, '%')"),
         "has_suspicious_port": flag(
@@ -266,29 +272,29 @@ def rules(src: str, base: str | None = None, browser: bool = False) -> dict[str,
     af_words = C.COMBO_WORDS[:20] if browser else C.COMBO_WORDS[:12]
     text = "edit(s) away from brand" if browser else "edit(s) from brand"
     dom = ("CASE WHEN rule_domain = '' THEN labels[1] ELSE rule_domain END" if browser else "rule_domain")
-    p0, p1 = "split_part(dom, '-', 1)", "split_part(dom, '-', 2)"
+    p0, p1 = "split_part(dom_a, '-', 1)", "split_part(dom_a, '-', 2)"
 
     def hit(part: str) -> str:
         other = f"(CASE WHEN {p0} = b THEN {p1} ELSE {p0} END)"
         wordy = any_(lst(hy_words), "w", f"contains({other}, w) OR {lev(other, 'w')} <= 1")
-        return any_(BR, "b", f"({part} = b OR {lev(part, 'b')} <= 1) AND {wordy}")
+        return any_(BR, "b", both(f"{part} = b OR {lev(part, 'b')} <= 1", wordy))
 
-    rest_a, rest_b = "substr(dom, length(w) + 2)", "substr(dom, 1, length(dom) - length(w) - 1)"
-    pre = (f"list_filter({lst(af_words)}, lambda w: starts_with(dom, w || '-') AND "
-           + any_(BR, "b", f"contains({rest_a}, b) OR {lev(rest_a, 'b')} <= 1") + ")")
-    suf = (f"list_filter({lst(af_words)}, lambda w: ends_with(dom, '-' || w) AND "
-           + any_(BR, "b", f"contains({rest_b}, b) OR {lev(rest_b, 'b')} <= 1") + ")")
+    rest_a, rest_b = "substr(dom_a, length(w) + 2)", "substr(dom_a, 1, length(dom_a) - length(w) - 1)"
+    pre = (f"list_filter({lst(af_words)}, lambda w: " + both(
+        "starts_with(dom, w || '-')", any_(BR, "b", f"contains({rest_a}, b) OR {lev(rest_a, 'b')} <= 1")) + ")")
+    suf = (f"list_filter({lst(af_words)}, lambda w: " + both(
+        "ends_with(dom, '-' || w)", any_(BR, "b", f"contains({rest_b}, b) OR {lev(rest_b, 'b')} <= 1")) + ")")
     out = {
         f"{tag}1_{src}": (
             f"SELECT *, CASE WHEN length(dom) >= 3 THEN nullif(list_position(list_transform({BR}, "
-            f"lambda b: {lev('dom', 'b')} BETWEEN 1 AND 2), true), 0) END AS near_idx "
-            f"FROM (SELECT *, {dom} AS dom FROM {base})"),
+            f"lambda b: {lev('dom_a', 'b')} BETWEEN 1 AND 2), true), 0) END AS near_idx "
+            f"FROM (SELECT *, {dom} AS dom, {ascii_(dom)} AS dom_a FROM {base})"),
         f"{tag}2_{src}": (
             f"SELECT *, list_extract({BR}, near_idx::BIGINT) AS near_brand, "
-            f"len(string_split(dom, '-')) = 2 AND ({hit(p0)} OR (near_idx IS NULL AND {hit(p1)})) AS hyphen, "
+            + both("len(string_split(dom, '-')) = 2", f"({hit(p0)} OR (near_idx IS NULL AND {hit(p1)}))") + " AS hyphen, "
             f"{pre} AS pre, {suf} AS suf, "
-            f"length(dom) < 12 AND NOT contains(host, 'google.com') AND NOT contains(host, 'github.com') AND "
-            + any_(BR, "b", f"contains(dom, b) OR {lev('dom', 'b')} <= 2") + " AS short_hit, "
+            "length(dom) < 12 AND NOT contains(host, 'google.com') AND NOT contains(host, 'github.com') AND "
+            + any_(BR, "b", f"contains(dom, b) OR {lev('dom_a', 'b')} <= 2") + " AS short_hit, "
             + any_(lst(C.BROWSER_FREE_HOSTS), "x", "ends_with(host, x)") + " AND "
             + any_(BR, "b", "contains(dom, b) OR contains(lower(path), b)") + " AS free_hit, "
             f"starts_with(u, 'data:') AS data_hit FROM {tag}1_{src}"),
@@ -305,7 +311,7 @@ def rules(src: str, base: str | None = None, browser: bool = False) -> dict[str,
             "CASE WHEN data_hit THEN 'Data URI detected (potential XSS)' END" if browser else "NULL")
     reasons = (
         "list_filter(flatten([[CASE WHEN near_idx IS NOT NULL THEN 'Domain ''' || dom || ''' is ' || "
-        f"{lev('dom', 'near_brand')} || ' {text} ''' || near_brand || '''' END, "
+        f"{lev('dom_a', 'near_brand')} || ' {text} ''' || near_brand || '''' END, "
         "CASE WHEN hyphen THEN 'Hyphenated brand impersonation: ''' || dom || '''' END], "
         f"{affix}, [{short}, CASE WHEN is_ip THEN 'IP address used as hostname' END, {tail}]]), "
         "lambda x: x IS NOT NULL)")

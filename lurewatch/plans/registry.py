@@ -365,8 +365,8 @@ kernel("keyword_count", "", None,
 
 
 @query("str_levenshtein", O.sql(
-    f"SELECT domain_base, b AS brand, {O.lev('domain_base', 'b')} AS dist FROM "
-    f"(SELECT DISTINCT domain_base FROM p_corpus), (SELECT unnest({O.BR}) AS b)", PC))
+    f"SELECT domain_base, b AS brand, {O.lev('da', 'b')} AS dist FROM "
+    f"(SELECT DISTINCT domain_base, da FROM p_corpus), (SELECT unnest({O.BR}) AS b)", PC))
 def str_levenshtein(spark, d):
     dom = hosts(spark, d).select("domain_base").distinct()
     return dom.select("domain_base", F.explode(S.str_array(C.BRANDS)).alias("brand")).withColumn(
@@ -436,16 +436,16 @@ def join_brand_contains(spark, d):
 
 
 @query("join_brand_similarity", O.sql(
-    f"SELECT domain_base, b AS brand, {O.lev('domain_base', 'b')} AS dist FROM "
-    f"(SELECT DISTINCT domain_base FROM p_corpus), (SELECT unnest({O.BR}) AS b) WHERE dist <= 2", PC))
+    f"SELECT domain_base, b AS brand, {O.lev('da', 'b')} AS dist FROM "
+    f"(SELECT DISTINCT domain_base, da FROM p_corpus), (SELECT unnest({O.BR}) AS b) WHERE dist <= 2", PC))
 def join_brand_similarity(spark, d):
     return J.brand_similarity(hosts(spark, d), dims.brands(spark)).select("domain_base", "brand", "dist")
 
 
 @query("nearest_brand", O.sql(
     f"SELECT domain_base, {O.BR}[list_position(ds, list_min(ds))] AS brand, list_min(ds) AS dist FROM "
-    f"(SELECT domain_base, list_transform({O.BR}, lambda b: {O.lev('domain_base', 'b')}) AS ds FROM "
-    "(SELECT DISTINCT domain_base FROM p_corpus))", PC))
+    f"(SELECT domain_base, list_transform({O.BR}, lambda b: {O.lev('da', 'b')}) AS ds FROM "
+    "(SELECT DISTINCT domain_base, da FROM p_corpus))", PC))
 def nearest_brand(spark, d):
     return J.nearest_brand(hosts(spark, d), dims.brands(spark))
 
@@ -523,7 +523,7 @@ def rule(name: str, cols: dict, check: str, rules=R.SERVER_RULES):
 
 rule("rule_brand_near", lambda: {"dom": F.col("dom"), "brand": F.col("rule_near_brand"),
                                  "dist": F.col("rule_near_dist")},
-     f"dom, near_brand AS brand, {O.lev('dom', 'near_brand')} AS dist")
+     f"dom, near_brand AS brand, {O.lev('dom_a', 'near_brand')} AS dist")
 rule("rule_brand_hyphen", lambda: {"dom": F.col("dom"), "hit": F.col("rule_hyphen")}, "dom, hyphen AS hit")
 rule("rule_affix", lambda: {"dom": F.col("dom"), "prefix": F.col("rule_prefix"),
                             "suffix": F.col("rule_suffix")},
