@@ -8,7 +8,7 @@ one popular host cannot fill a task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as C
 from ..functions import strings as S
@@ -151,9 +151,11 @@ def brand_contains(df: DataFrame, brands: DataFrame, text: str = "domain_base")
                 .withColumn("_b", F.explode(hits))
                 .withColumns({"idx": F.col("_b.idx"), "brand": F.col("_b.brand")}).drop("_b"))
     lengths = [r[0] for r in b.select(F.length("brand").alias("n")).distinct().collect()]
-    grams = F.array_distinct(F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))),
-                    lambda i, n=n: F.substring(F.col(text), i, F.lit(n))) for n in lengths])))
+    def pieces(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.substr(F.col(text), i, F.lit(n)))
+
+    grams = F.array_distinct(F.flatten(F.array(*[pieces(n) for n in lengths])))
     return df.withColumn("brand", F.explode(grams)).join(b, "brand")
 
 
