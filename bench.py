@@ -39,6 +39,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        print(name, times[name], file=sys.stderr, flush=True)
     n_urls = QUERIES["union_corpora"](spark, sf_dir).agg({"n": "sum"}).first()[0]
     print(json.dumps({
         "metric": "headline_total_seconds", "value": round(sum(times.values()), 3), "unit": "sec",

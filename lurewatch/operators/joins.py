@@ -27,17 +27,39 @@ def broadcast_if_small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, bound) else df
 
 
+def hot_keys(keys: DataFrame, key: str, min_rows: int = 100_000) -> DataFrame:
+    """Keys holding more than ``min_rows`` rows and more than 1/10 000 of all rows.
+
+    By that definition there are fewer than 10 000 of them, so the result may
+    always be broadcast.
+    """
+    counts = keys.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_total"))
+    return (counts.crossJoin(F.broadcast(total))
+            .filter((F.col("_n") > min_rows) & (F.col("_n") > F.col("_total") / 10_000)
+                    & F.col(key).isNotNull())
+            .select(F.col(key), F.lit(True).alias("_hot")))
+
+
 def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "left",
-                salts: int = 64) -> DataFrame:
+                salts: int = 64, keys: DataFrame | None = None,
+                min_rows: int = 100_000) -> DataFrame:
     """Equi-join where ``small`` has unique keys and ``big`` may be skewed.
 
-    ``big`` rows of one key are spread over ``salts`` tasks by a hash of the
-    whole row; ``small`` is replicated once per salt.
+    Only hot keys (and NULLs, which match nothing) are spread over ``salts``
+    tasks, by a hash of the whole row; only hot rows of ``small`` are repeated.
+    ``keys`` may name a cheaper table with the same key column to count.
     """
-    row_hash = F.xxhash64(*[F.col(n) for n, t in big.dtypes if not t.startswith("map")])
-    left = big.withColumn("_salt", F.pmod(row_hash, F.lit(salts)))
-    right = small.withColumn("_salt", F.explode(
-        F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    hot = F.broadcast(hot_keys(big if keys is None else keys, key, min_rows))
+    row_hash = F.pmod(F.xxhash64(*[F.col(n) for n, t in big.dtypes if "map<" not in t]),
+                      F.lit(salts))
+    spread = F.coalesce("_hot", F.lit(False)) | F.col(key).isNull()
+    left = big.join(hot, key, "left").withColumn(
+        "_salt", F.when(spread, row_hash).otherwise(F.lit(0).cast("bigint"))).drop("_hot")
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
+    right = small.join(hot, key, "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(
+            F.array(F.lit(0).cast("bigint"))))).drop("_hot")
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
@@ -208,10 +230,12 @@ def anti_existing(new: DataFrame, existing: DataFrame, key: str = "url") -> Data
     return salted_join(new, keys, key, "left_anti")
 
 
-def join_stage2(df: DataFrame, scores: DataFrame, cfg, url: str = "url") -> DataFrame:
+def join_stage2(df: DataFrame, scores: DataFrame, cfg, url: str = "url",
+                source: DataFrame | None = None) -> DataFrame:
     """Attach the visual score table to the rows routed to it.
 
-    Rows outside the trigger band keep a null key and never meet the join.
+    Rows outside the trigger band get a NULL key: they match nothing and are
+    spread evenly.  ``source`` is the plain input, used to count hot URLs.
     """
     from .verdict import combined_risk, needs_stage2
 
@@ -221,11 +245,11 @@ def join_stage2(df: DataFrame, scores: DataFrame, cfg, url: str = "url") -> Data
     keyed = df.withColumn("_key", F.when(
         routed & ~F.col("is_malformed") & ~F.col("is_whitelisted") & (F.col("rule_score") < 0.5),
         F.col(url)))
-    hot, cold = keyed.filter(F.col("_key").isNotNull()), keyed.filter(F.col("_key").isNull())
-    hot = _attach(hot, per_url, "_key", BROADCAST_ROWS)
-    none = F.lit(None)
-    cold = cold.withColumn("_s", none.cast(dict(per_url.dtypes)["_s"]))
-    out = hot.unionByName(cold)
+    if is_small(scores):
+        out = keyed.join(F.broadcast(per_url), "_key", "left")
+    else:
+        counted = keyed if source is None else source.select(F.col(url).alias("_key"))
+        out = salted_join(keyed, per_url, "_key", keys=counted)
     s = F.col("_s")
     used = F.coalesce(s["ok"] & s["prob"].isNotNull(), F.lit(False))
     return out.withColumns({

@@ -198,7 +198,8 @@ def hybrid_verdict(df: DataFrame, cfg: Config = DEFAULT_CONFIG, scorer: Scorer |
     if stage2_scores is not None and final_stage2:
         from .joins import join_stage2
 
-        ready = join_stage2(ready, stage2_scores, cfg, url)
+        ready = settle(ready, "lex_prob")
+        ready = join_stage2(ready, stage2_scores, cfg, url, source=df)
         return _decide(ready, keep, cfg.columns(), True, True)
     return _decide(ready, keep, cfg.columns(), final_stage2, False)
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import constants as C
+from ..functions.settle import settle
+from ..sources.feeds import spread
 from ..streaming.nav import page_links
 
 TABLES = ("pages", "events", "documents", "labels", "customer", "supplier", "embeddings")
@@ -92,18 +94,18 @@ def event_urls(events: DataFrame) -> DataFrame:
     """(seq, url, label) per event."""
     fields = events.selectExpr(*_event_fields(_spark_at)).selectExpr("*", _K)
     url, label = _event_url_sql()
-    return fields.selectExpr("n AS seq", f"{url} AS url", f"{label} AS label")
+    return settle(fields.selectExpr("n AS seq", f"{url} AS url", f"{label} AS label"), "url", "label")
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, priority, seq, url, label): pages, their links, event URLs."""
-    pages = load(spark, sf_dir, "pages")
+    pages = spread(load(spark, sf_dir, "pages"))
     own = pages.select(F.lit("page").alias("source"), F.lit(0).alias("priority"),
                        F.col("page_id").alias("seq"), "url", F.lit(0).alias("label"))
     links = page_links(pages).select(
         F.lit("link").alias("source"), F.lit(1).alias("priority"),
         (F.col("page_id") * 100000 + F.col("pos")).alias("seq"), "url", F.lit(0).alias("label"))
-    ev = event_urls(load(spark, sf_dir, "events")).select(
+    ev = event_urls(spread(load(spark, sf_dir, "events"))).select(
         F.lit("event").alias("source"), F.lit(2).alias("priority"), "seq", "url", "label")
     return own.unionByName(links).unionByName(ev)
 
@@ -112,12 +114,13 @@ def nav_events(events: DataFrame) -> DataFrame:
     """(ts, tab_id, frame_id, url) per event, batch or stream; views are main-frame."""
     fields = events.selectExpr("ts", *_event_fields(_spark_at)).selectExpr("*", _K)
     url, _ = _event_url_sql()
-    return fields.selectExpr("ts", "uid AS tab_id",
-                             "CASE WHEN et = 'view' THEN 0 ELSE 1 END AS frame_id", f"{url} AS url")
+    return settle(fields.selectExpr(
+        "ts", "uid AS tab_id", "CASE WHEN et = 'view' THEN 0 ELSE 1 END AS frame_id",
+        f"{url} AS url"), "url")
 
 
 def nav(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nav_events(load(spark, sf_dir, "events"))
+    return nav_events(spread(load(spark, sf_dir, "events")))
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:

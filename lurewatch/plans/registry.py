@@ -650,7 +650,7 @@ LR = O.lex_scores("req_rows")
     "SELECT request_id, string_agg(pos::VARCHAR || ':' || verdict || ':' || printf('%.6f', risk) || ':' || fast_path::VARCHAR, ' ' "
     "ORDER BY pos) AS results, count(*) AS n_urls FROM v_req_rows GROUP BY request_id", REQ, PR, LR, RR, VR))
 def batch_verdicts(spark, d):
-    ev = P.event_urls(P.load(spark, d, "events"))
+    ev = P.event_urls(feeds.spread(P.load(spark, d, "events")))
     # requests of about 94 URLs; every seventh block collects more and is rejected
     n = F.when(F.col("seq") % 7 == 0, F.floor(F.col("seq") / 770) * 770).otherwise(F.col("seq"))
     reqs = ev.withColumn("request_id", F.floor(n / 110)).groupBy("request_id").agg(
@@ -1154,5 +1154,5 @@ RLK, VL = O.rules("links", base="lex_links"), O.verdicts("links")
 @query("page_link_verdicts", O.sql(
     "SELECT page_id, pos, url, verdict, round(risk, 6) AS risk, stage FROM v_links", PL, LL, RLK, VL))
 def page_link_verdicts(spark, d):
-    links = T.page_links(P.load(spark, d, "pages"))
+    links = T.page_links(feeds.spread(P.load(spark, d, "pages")))
     return V.hybrid_verdict(links).select("page_id", "pos", "url", "verdict", r6(F.col("risk"), "risk"), "stage")

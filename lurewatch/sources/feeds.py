@@ -34,6 +34,16 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least one partition per core before costly expressions.
+
+    Small single-file tables come as one partition; large tables already have
+    more partitions than cores and are returned as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _cap(df: DataFrame, cap: int | None, *order) -> DataFrame:
     return df if cap is None else df.orderBy(*order).limit(cap)
 

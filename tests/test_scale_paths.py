@@ -57,8 +57,12 @@ def test_brand_contains_by_ngrams(spark, monkeypatch):
 def test_salted_join_keeps_every_row(spark):
     big = spark.range(1000).select("id", F.when(F.col("id") < 900, 1).otherwise(F.col("id")).alias("k"))
     small = spark.createDataFrame([(1, "a"), (950, "b")], "k long, v string")
-    assert same(J.salted_join(big, small, "k"), big.join(small, "k", "left"))
-    assert same(J.salted_join(big, small.select("k"), "k", "left_anti"), big.join(small, "k", "left_anti"))
+    big = big.withColumn("k", F.when(F.col("id") % 10 != 7, F.col("k")))  # some NULL keys
+    assert [r["k"] for r in J.hot_keys(big, "k", 100).collect()] == [1]
+    for min_rows in (100, 100_000):
+        assert same(J.salted_join(big, small, "k", min_rows=min_rows), big.join(small, "k", "left"))
+        assert same(J.salted_join(big, small.select("k"), "k", "left_anti", min_rows=min_rows),
+                    big.join(small, "k", "left_anti"))
 
 
 def test_dedup_keeps_first_source(spark):
