@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import strings as S
 
-_SEQ_BITS = 44
+_SEQ_BITS = 54
 
 
 def union_corpora(*parts: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def dedup_keep_first(df: DataFrame, priority: str = "priority", seq: str = "seq"
                      url: str = "url", label: str = "label") -> DataFrame:
     """One row per URL: the label of the smallest (priority, seq).
 
-    Priority (0..255), sequence number (< 2^44) and the 0/1 label are packed in one
+    Priority (0..255), sequence number (< 2^54) and the 0/1 label are packed in one
     BIGINT so the aggregate is a hash aggregate with map-side combine; a hot URL
     is reduced to one row per map task before the shuffle.
     """
