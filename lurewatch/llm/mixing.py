@@ -17,7 +17,7 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -76,15 +76,15 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
 
 
-def _round_group(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
+def _round_group(rows: pa.Table, seed: int) -> pa.Table:
     """Round the shares of one group; at most one stays strictly between 0 and 1."""
-    pdf = pdf.sort_values(["doc_id", "size"], na_position="last", kind="stable").reset_index(drop=True)
-    key = f"{seed}|{pdf['_src'].iat[0]}|{pdf['_level'].iat[0]}|{pdf['_block'].iat[0]}"
+    rows = rows.sort_by([("doc_id", "ascending"), ("size", "ascending")])
+    first = rows.slice(0, 1).to_pylist()[0]
+    key = f"{seed}|{first['_src']}|{first['_level']}|{first['_block']}"
     rng = np.random.default_rng(int.from_bytes(hashlib.sha256(key.encode()).digest()[:8], "little"))
-    share, size = pdf["_share"].tolist(), pdf["size"].tolist()
-    draws = rng.random(len(share)).tolist()
+    share, size = rows.column("_share").to_pylist(), rows.column("size").to_pylist()
     held = None
-    for i, draw in enumerate(draws):
+    for i, draw in enumerate(rng.random(len(share)).tolist()):
         if not EPS < share[i] < 1 - EPS:
             share[i] = float(round(share[i]))
             continue
@@ -99,8 +99,7 @@ def _round_group(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
         p, q = (float(round(x)) if not EPS < x < 1 - EPS else x for x in (p, q))
         share[held], share[i] = p, q
         held = held if 0 < p < 1 else i if 0 < q < 1 else None
-    pdf["_share"] = share
-    return pdf
+    return rows.set_column(rows.schema.get_field_index("_share"), "_share", pa.array(share, pa.float64()))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST,
@@ -135,8 +134,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     rows = rows.filter((F.col("_share") > EPS) & (F.col("_share") < 1 - EPS))
     open_ = (F.col("_share") > 0) & (F.col("_share") < 1)
     while True:
-        rows = stored(rows.groupBy("_src", "_block").applyInPandas(
-            lambda pdf: _round_group(pdf, seed), schema), "mix-level")
+        rows = stored(rows.groupBy("_src", "_block").applyInArrow(
+            lambda group_rows: _round_group(group_rows, seed), schema), "mix-level")
         done.append(rows.filter(~open_))
         if most_blocks == 1:
             break

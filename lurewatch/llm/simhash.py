@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -63,12 +63,12 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
     A NULL, empty or blank text has the fingerprint 0; other columns are ignored.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            made = np.fromiter((simhash(t, words) for t in pdf["text"]), np.uint64, len(pdf))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": made.view(np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = np.fromiter((simhash(t.as_py(), words) for t in batch.column("text")), np.uint64, len(batch))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def _segment(fp: Column, i: int) -> Column:
