@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, chat, mixing, simhash, substrings, topk, toxicity
+from . import ann, bpe, chat, mixing, quality, simhash, substrings, topk, toxicity
 from .common import table
 from .labelled import fold
 
@@ -63,6 +63,16 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op5_quality_discriminant")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    left_out = fold(F.col("doc_id"), 4) == 2
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~left_out)
+    return quality.score(docs, model, ["doc_id"]).select(
+        "doc_id", F.coalesce(left_out, F.lit(True)).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def vocabulary() -> bpe.Vocabulary:
     import public_tokenizers
 
