@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, chat, mixing, quality, simhash, substrings, topk, toxicity
+from . import ann, bpe, chat, html_main, mixing, quality, simhash, substrings, topk, toxicity
 from .common import table
 from .labelled import fold
 
@@ -100,6 +100,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op9_main_text")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = html_main.extract(table(spark, sf_dir, "pages"), html_main.fit(), ["page_id", "url"])
+    return made.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op10_chat_format")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from .common import stored
 from .components import components
@@ -59,16 +60,23 @@ def simhash(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint as a signed long) for every row; nothing is shuffled.
+    """``doc_id, fp, text_hash`` for every row; nothing is shuffled.
 
-    A NULL, empty or blank text has the fingerprint 0; other columns are ignored.
+    ``fp`` is the fingerprint as a signed long, ``text_hash`` tells texts of one id
+    apart.  A NULL, empty or blank text has the fingerprint 0; other columns are ignored.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = np.fromiter((simhash(t.as_py(), words) for t in batch.column("text")), np.uint64, len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made.view(np.int64)),
+                                              batch.column("text_hash")], ["doc_id", "fp", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_hash")).mapInArrow(
+        run, "doc_id long, fp long, text_hash long")
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def _segment(fp: Column, i: int) -> Column:
@@ -125,9 +133,9 @@ def links(fps: DataFrame, distance: int = 2, cell: int = CELL) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
-    """``doc_id, fp, component_id`` for every row of ``docs``.
+    """``doc_id, fp, text_hash, component_id, component`` for every row of ``docs``.
 
-    ``component_id`` is the smallest ``doc_id`` reachable over links of
+    ``component`` is the smallest fingerprint of a component, and ``component_id`` is the smallest ``doc_id`` reachable over links of
     ``distance`` differing bits or fewer.  Equal fingerprints are one node, so
     groups of copies cost one row each.  Repeated rows get equal results; a NULL
     ``doc_id`` is reached like others but never names a component unless the
@@ -140,6 +148,22 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataF
         "fp", "first", F.coalesce("component", "fp").alias("_component"))
     named = stored(named, "simhash-named")
     first = named.groupBy("_component").agg(F.min("first").alias("component_id"))
-    linked = named.join(first, "_component").select("fp", "component_id")
+    linked = named.join(first, "_component").select("fp", "component_id", F.col("_component").alias("component"))
     # A fingerprint with very many documents is spread over the tasks by AQE's skew join.
-    return marked.join(linked, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(linked, "fp").select("doc_id", "fp", "text_hash", "component_id", "component")
+
+
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, one for each component: its smallest id, of repeated rows one.
+
+    Rows with a NULL id stay only where a component has no other.
+    """
+    found = near_duplicates(docs, **options)
+    unnamed = F.col("doc_id").isNull()
+    first = found.groupBy("component").agg(F.min(F.struct(unnamed.alias("unnamed"), "doc_id", "text_hash")).alias("_r"))
+    kept = first.select(F.coalesce(F.col("_r.doc_id").cast("string"), F.lit("null")).alias("_id"),
+                        F.col("_r.text_hash").alias("_hash")).distinct()
+    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "_hash": text_hash()})
+    alike = Window.partitionBy("_id", "_hash").orderBy(F.lit(0))
+    return (rows.join(kept, ["_id", "_hash"], "left_semi").withColumn("_nth", F.row_number().over(alike))
+            .filter("_nth = 1").select(*docs.columns))

@@ -116,11 +116,12 @@ def _back(rows: pa.Table, sizes: list[int], chosen: np.ndarray, columns: dict[st
 
 
 def deduplicate(docs: DataFrame, width: int = 13, carry: list[str] | None = None,
-                block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
+                verbatim: bool = False, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
     """``carry`` columns (default: all but ``text``) and what is left of each document.
 
     Added are ``n_words``, ``n_removed``, ``spans`` (first word and number of words
-    of each removed run) and ``kept_text``, the kept words joined by one space.
+    of each removed run) and ``kept_text``, the kept words joined by one space
+    (``verbatim``: a text that loses no word stays as it is).
     Windows are judged on the input.  A NULL or empty text has no words.  A NULL
     id counts as larger than any other, and NULL ids as equal; repeated rows get
     equal results; two texts of one id do not remove each other's words; an empty
@@ -211,7 +212,9 @@ def deduplicate(docs: DataFrame, width: int = 13, carry: list[str] | None = None
         removed = np.concatenate(([0], np.cumsum(covered)))
         removed = removed[words.cuts[1:]] - removed[words.cuts[:-1]]
         spans = [_runs(covered[words.cuts[i]:words.cuts[i + 1]]) if removed[i] else [] for i in range(len(rows))]
-        kept = [words.kept(i, covered).decode("utf-8", "surrogatepass") for i in range(len(rows))]
+        texts = rows.column("_text")
+        kept = [texts[i].as_py() if verbatim and not removed[i] else
+                words.kept(i, covered).decode("utf-8", "surrogatepass") for i in range(len(rows))]
         return pa.table({
             "_row": rows.column("_row"), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
             "spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))), "kept_text": pa.array(kept, pa.string())})
