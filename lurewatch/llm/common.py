@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..sources.feeds import work_dir
 
@@ -38,3 +39,20 @@ def shuffle_width(spark: SparkSession) -> int:
 def ordered_hash(values: Column, buckets: Column | int) -> Column:
     """Bucket 0..buckets-1 of a value, NULL included."""
     return F.pmod(F.xxhash64(values), F.lit(buckets) if isinstance(buckets, int) else buckets)
+
+
+def packed(columns: list[str]) -> Column:
+    """Columns of any name as one column ``_row``, so that they cannot clash with those of an operator."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns] or [F.lit(0).alias("none")]).alias("_row")
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    return [F.col(f"_row.`{c}`") for c in columns]
+
+
+def with_row(df: DataFrame, more: str) -> StructType:
+    """The schema of ``_row`` as it is in ``df``, NULL flags included, and of more columns."""
+    out = StructType([df.schema["_row"]])
+    for field in StructType.fromDDL(more).fields:
+        out = out.add(field)
+    return out

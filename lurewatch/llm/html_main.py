@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import dom, page_samples
+from .common import packed, unpacked, with_row
 
 #: Kinds of elements that share potentials. Plain lists; kind 0 holds all others.
 KINDS = ("div section center table tbody tr td th details fieldset", "article", "main", "p pre", "h1 h2 h3 h4 h5 h6",
@@ -157,7 +158,7 @@ def extract(pages: DataFrame, model: Model, carry: list[str] | None = None) -> D
     fails; repeated rows get equal texts; an empty table gives no rows.
     """
     carry = [c for c in pages.columns if c != "html"] if carry is None else carry
-    row = pages.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row"), F.col("html").alias("_html"))
+    row = pages.select(packed(carry), F.col("html").alias("_html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,5 +167,5 @@ def extract(pages: DataFrame, model: Model, carry: list[str] | None = None) -> D
                 texts = model.texts([x or "" for x in part.column("_html").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(texts, pa.string())], ["_row", "text"])
 
-    made = row.mapInArrow(run, f"_row {dict(row.dtypes)['_row']}, text string")
-    return made.select(*[F.col(f"_row.`{c}`") for c in carry if c != "text"], "text")
+    made = row.mapInArrow(run, with_row(row, "text string"))
+    return made.select(*unpacked([c for c in carry if c != "text"]), "text")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..operators.joins import is_small, salted_join
-from .common import ordered_hash, stored, word_count
+from .common import ordered_hash, packed, stored, unpacked, word_count
 
 #: Weights of the sources in the order of their names, repeating. Fixed values of the mix.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -157,14 +157,13 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     mixed = mix(docs, **options)
     key = ["_id", "_src", "_size", "_nth"]
 
-    def keyed(df: DataFrame, size: Column, order: Column) -> DataFrame:
-        alike = Window.partitionBy("_id", "_src", "_size").orderBy(order)
-        return df.withColumns({
-            "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
-            "_src": source_key(F.col("source")), "_size": size,
-        }).withColumn("_nth", F.row_number().over(alike))
+    def keyed(df: DataFrame, size: Column, order: Column, *more) -> DataFrame:
+        alike = Window.partitionBy("_id", "_src", "_size").orderBy("_order")
+        return df.select(
+            F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), source_key(F.col("source")).alias("_src"),
+            size.alias("_size"), order.alias("_order"), *more).withColumn("_nth", F.row_number().over(alike))
 
-    copies = keyed(mixed, F.col("size"), F.col("copies").desc()).select(*key, "copies").filter("copies > 0")
-    rows = keyed(docs, word_count(F.col("text")), F.col("text"))
+    copies = keyed(mixed, F.col("size"), -F.col("copies"), "copies").filter("copies > 0").select(*key, "copies")
+    rows = keyed(docs, word_count(F.col("text")), F.col("text"), packed(docs.columns))
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return rows.join(copies, key).withColumn("_copy", each).select(*docs.columns)
+    return rows.join(copies, key).withColumn("_copy", each).select(*unpacked(docs.columns))

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import packed, unpacked, with_row
 from .labelled import Logistic, sample
 
 #: Most labelled documents of each label to learn from, and the longest in characters.
@@ -119,7 +120,7 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
     enters the score.  Repeated rows get equal scores; an empty table gives no rows.
     """
     carry = docs.columns if carry is None else carry
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row"), F.col("text").alias("_text"))
+    row = docs.select(packed(carry), F.col("text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,5 +129,5 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
                 made = model.score(np.array([statistics(t.as_py()) for t in batch.column("_text")]))
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(made, pa.float64())], ["_row", "score"])
 
-    scored = row.mapInArrow(run, f"_row {dict(row.dtypes)['_row']}, score double")
-    return scored.select(*[F.col(f"_row.`{c}`") for c in carry if c != "score"], "score")
+    scored = row.mapInArrow(run, with_row(row, "score double"))
+    return scored.select(*unpacked([c for c in carry if c != "score"]), "score")

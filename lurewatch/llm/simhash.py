@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import packed, stored, unpacked
 from .components import components
 
 SEGMENTS, BITS = 16, 4
@@ -163,7 +163,8 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
     first = found.groupBy("component").agg(F.min(F.struct(unnamed.alias("unnamed"), "doc_id", "text_hash")).alias("_r"))
     kept = first.select(F.coalesce(F.col("_r.doc_id").cast("string"), F.lit("null")).alias("_id"),
                         F.col("_r.text_hash").alias("_hash")).distinct()
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "_hash": text_hash()})
+    rows = docs.select(packed(docs.columns), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"),
+                       text_hash().alias("_hash"))
     alike = Window.partitionBy("_id", "_hash").orderBy(F.lit(0))
     return (rows.join(kept, ["_id", "_hash"], "left_semi").withColumn("_nth", F.row_number().over(alike))
-            .filter("_nth = 1").select(*docs.columns))
+            .filter("_nth = 1").select(*unpacked(docs.columns)))

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import shuffle_width
+from .common import packed, shuffle_width, unpacked, with_row
 from .words import Words
 
 #: Characters of a block of documents, and of the texts whose hashes make up a bucket.
@@ -125,17 +125,17 @@ def deduplicate(docs: DataFrame, width: int = 13, carry: list[str] | None = None
     Windows are judged on the input.  A NULL or empty text has no words.  A NULL
     id counts as larger than any other, and NULL ids as equal; repeated rows get
     equal results; two texts of one id do not remove each other's words; an empty
-    table gives no rows; columns of any other name pass unchanged.
+    table gives no rows; columns with the name of a result are replaced, others pass.
     """
     spark = docs.sparkSession
-    carry = [c for c in docs.columns if c != "text"] if carry is None else carry
+    made = ("text", "n_words", "n_removed", "spans", "kept_text")
+    carry = [c for c in docs.columns if c not in made] if carry is None else carry
     steps = levels(width)
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks, buckets = max(1, math.ceil(size / block)), max(1, math.ceil(size / bucket))
     own = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
     # Copies of one NULL-id text meet in a block; the rest is dealt by id.
-    dealt = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row") if carry else F.lit(0).alias("_row"),
-                        F.col("text").alias("_text"),
+    dealt = docs.select(packed(carry), F.col("text").alias("_text"),
                         F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_order"),
                         F.pmod(F.xxhash64(own), F.lit(blocks)).alias("_block"))
     # Read three times, written once: the plans below share this exchange.
@@ -227,10 +227,9 @@ def deduplicate(docs: DataFrame, width: int = 13, carry: list[str] | None = None
     full = (by_block.cogroup(known.groupBy("_block"))
             .applyInArrow(long_windows, f"{sent}, checks binary, low binary, several binary")
             .groupBy("_bucket").applyInArrow(long_repeats, "_block long, keys binary, least binary"))
-    row = dict(dealt.dtypes)["_row"]
     out = by_block.cogroup(full.groupBy("_block")).applyInArrow(
-        remove, f"_row {row}, n_words long, n_removed long, spans array<array<bigint>>, kept_text string")
-    return out.select(*([F.col(f"_row.`{c}`") for c in carry]), "n_words", "n_removed", "spans", "kept_text")
+        remove, with_row(dealt, "n_words long, n_removed long, spans array<array<bigint>>, kept_text string"))
+    return out.select(*unpacked(carry), "n_words", "n_removed", "spans", "kept_text")
 
 
 def _runs(covered: np.ndarray) -> list[list[int]]:
