@@ -7,6 +7,9 @@ wherever a rule says "first match wins" (brands) or "first n entries".
 
 from __future__ import annotations
 
+import os
+import unicodedata
+
 # --- Protected brand names; list order decides ties. Fixed values. ---
 BRANDS = (
     "google", "facebook", "amazon", "apple", "microsoft", "netflix",
@@ -102,43 +105,29 @@ SUSPICIOUS_EXTENSIONS = (".php", ".exe", ".bat", ".cmd", ".scr", ".pif",
 INTERNAL_SCHEMES = ("chrome", "chrome-extension", "about", "edge",
                     "moz-extension", "safari-extension")
 
-# --- Starter set of known-legitimate domains (search, social, media,
-# developer, shop and bank sites). Fixed values. The full reputation table is
-# a parameter: pass a file or DataFrame to ``sources.dims.whitelist``. ---
-STARTER_WHITELIST = (
-    "google.com", "google.co.uk", "google.de", "google.fr", "google.co.jp",
-    "bing.com", "duckduckgo.com", "yahoo.com", "baidu.com",
-    "facebook.com", "fb.com", "instagram.com", "twitter.com", "x.com",
-    "linkedin.com", "reddit.com", "pinterest.com", "tumblr.com",
-    "snapchat.com", "tiktok.com", "whatsapp.com", "telegram.org",
-    "discord.com", "quora.com", "medium.com", "substack.com",
-    "youtube.com", "youtu.be", "twitch.tv", "vimeo.com",
-    "soundcloud.com", "spotify.com", "open.spotify.com", "music.apple.com",
-    "github.com", "gitlab.com", "bitbucket.org", "sourceforge.net",
-    "stackoverflow.com", "stackexchange.com", "dev.to",
-    "npmjs.com", "pypi.org", "docker.com", "hub.docker.com",
-    "cloudflare.com", "digitalocean.com", "codesandbox.io", "gitbook.io",
-    "aws.amazon.com", "console.aws.amazon.com",
-    "cloud.google.com", "console.cloud.google.com",
-    "azure.microsoft.com", "portal.azure.com",
-    "salesforce.com", "slack.com", "zoom.us", "webex.com",
-    "notion.so", "figma.com", "canva.com", "stripe.com", "paypal.com",
-    "bbc.com", "bbc.co.uk", "cnn.com", "nytimes.com", "theguardian.com",
-    "reuters.com", "bloomberg.com", "wsj.com",
-    "amazon.com", "amazon.co.uk", "amazon.de", "amazon.co.jp",
-    "ebay.com", "etsy.com", "walmart.com", "target.com",
-    "bestbuy.com", "costco.com", "homedepot.com", "ikea.com",
-    "shopify.com", "squarespace.com", "wix.com",
-    "bankofamerica.com", "wellsfargo.com", "chase.com",
-    "citi.com", "capitalone.com", "americanexpress.com", "usaa.com",
-    "venmo.com", "fidelity.com", "coinbase.com", "binance.com",
-    "hsbc.com", "barclays.com", "lloydsbank.com", "natwest.com",
-    "santander.com", "booking.com", "airbnb.com", "uber.com",
-    "coursera.org", "khanacademy.org", "irs.gov", "usps.com",
-    "netflix.com", "apple.com", "icloud.com", "microsoft.com",
-    "office.com", "roblox.com", "steampowered.com", "epicgames.com",
-    "wikipedia.org", "archive.org", "dropbox.com", "mit.edu",
-)
+# --- Known-legitimate domains (search, social, media, developer, shop, bank, school and
+# government sites). Fixed values, kept as a text file; the reputation table is a parameter
+# of every operator that uses it. ---
+def _listed(name: str) -> tuple[str, ...]:
+    path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "resources", name)
+    with open(path, encoding="utf-8") as f:
+        return tuple(x for x in f.read().split("\n") if x and not x.startswith("#"))
+
+
+KNOWN_DOMAINS = _listed("known_domains.txt")
+
+#: Characters that become a delimiter of URLs when a host is normalised (NFKC), by that rule.
+DELIMITER_LIKE = "".join(c for c in map(chr, range(0x80, 0x30000))
+                         if set(unicodedata.normalize("NFKC", c)) & set("/?#@:"))
+_H, _V4 = "[0-9a-fA-F]{1,4}", r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
+#: What brackets in a host may hold: an IPv6 address, with a zone perhaps, or a future form.
+BRACKETED = ("(?:" + "|".join(
+    [f"(?:{_H}:){{7}}{_H}", f"(?:{_H}:){{6}}{_V4}", "::"]
+    + [f"(?:{_H}:){{{n - 1}}}{_H}::" for n in range(1, 8)]
+    + [f"(?:{_H}:){{{n - 1}}}{_H}::(?:{_H}:){{0,{6 - n}}}{_H}" for n in range(1, 7)]
+    + [f"::(?:{_H}:){{0,6}}{_H}", f"::(?:{_H}:){{0,5}}{_V4}"]
+    + [f"(?:{_H}:){{{n - 1}}}{_H}::(?:{_H}:){{0,{4 - n}}}{_V4}" for n in range(1, 5)]
+    + [f"{_H}::{_V4}"]) + r")(?:%[^%\]]+)?|[vV][0-9a-fA-F]+\.[A-Za-z0-9._~!$&'()*+,;=:-]+")
 
 # --- Feature names in vector order. Fixed values. ---
 FEATURES_V1 = (

@@ -66,7 +66,7 @@ def _near_flag(d: Column, dist: Column, match: Column) -> Column:
         match, near_at < match_at).otherwise(F.lit(True))
 
 
-def feature_expressions(whitelist: Sequence[str] = C.STARTER_WHITELIST,
+def feature_expressions(whitelist: Sequence[str] = C.KNOWN_DOMAINS,
                         names: Sequence[str] = C.FEATURE_NAMES) -> dict[str, Column]:
     """Feature name -> expression over the columns of ``prepare``."""
     c = F.col
@@ -88,8 +88,8 @@ def feature_expressions(whitelist: Sequence[str] = C.STARTER_WHITELIST,
     no_digits = F.regexp_replace(d, r"\p{Nd}", "")
     brand_in = B.contains_brand(d)
     brand_match = B.equals_or_one_longer(d)
-    known = lambda: S.in_list("host", whitelist) | (
-        h.contains(".") & ~ip & S.in_list("reg_domain", whitelist))
+    known = lambda: U.in_whitelist("host", whitelist) | (
+        h.contains(".") & ~ip & U.in_whitelist("reg_domain", whitelist))
     shortener = lambda: S.in_list("host", C.SHORTENERS)
 
     e: dict[str, Callable[[], Column]] = {
@@ -190,10 +190,13 @@ def prepare(df: DataFrame, url: str = "url") -> DataFrame:
 
 
 def extract_features(df: DataFrame, names: Sequence[str] = C.FEATURE_NAMES, url: str = "url",
-                     whitelist: Sequence[str] = C.STARTER_WHITELIST) -> DataFrame:
+                     whitelist: Sequence[str] | DataFrame = C.KNOWN_DOMAINS) -> DataFrame:
     """Add the named feature columns to ``df`` (input columns are kept)."""
+    from ..operators.joins import with_reputation
+
+    ready, whitelist = with_reputation(prepare(df, url), whitelist)
     exprs = feature_expressions(whitelist, names)
-    return prepare(df, url).select(
+    return ready.select(
         *[F.col(n) for n in df.columns], *[exprs[n].alias(n) for n in names])
 
 

@@ -20,6 +20,8 @@ _EDGE_SPACE = r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$"
 _PARAM_SCHEMES = ("", "ftp", "hdl", "prospero", "http", "imap", "https", "shttp",
                   "rtsp", "rtsps", "rtspu", "sip", "sips", "mms", "sftp", "tel")
 IP_PATTERN = r"^\p{Nd}{1,3}(\.\p{Nd}{1,3}){3}$"
+#: The first pair of brackets holds an address.
+_BRACKETS = rf"^[^\[]*\[(?:{C.BRACKETED})\]"
 PARSED_COLUMNS = ("u", "full_url", "scheme", "netloc", "host", "path", "query",
                   "is_malformed")
 
@@ -60,7 +62,11 @@ def parse_url_columns(df: DataFrame, url: str = "url") -> DataFrame:
         "path": F.when(raw_path.contains(";") & c("scheme").isin(*_PARAM_SCHEMES),
                        F.regexp_replace(raw_path, r";[^/]*$", "")).otherwise(raw_path),
         "query": F.expr("substr(_t, length(_b) + 2)"),
-        "is_malformed": c("_n").contains("[") != c("_n").contains("]"),
+        # Unpaired brackets, brackets that hold no address, look-alikes of delimiters, no URL at all.
+        "is_malformed": c(url).isNull() | F.coalesce(
+            (c("_n").contains("[") != c("_n").contains("]"))
+            | (c("_n").contains("[") & ~c("_n").rlike(_BRACKETS))
+            | c("_n").rlike(f"[{C.DELIMITER_LIKE}]"), F.lit(False)),
     })
     out = out.withColumn("host", F.substring_index(c("netloc"), ":", 1))
     return out.drop("_t", "_b", "_s", "_r", "_n")
@@ -126,6 +132,19 @@ def is_internal(url: Column) -> Column:
     return url.rlike("(?i)^(" + any_of(C.INTERNAL_SCHEMES) + ")://")
 
 
+class Listed:
+    """Marks a reputation table that has been joined: its answers are in ``COLUMNS``."""
+
+    COLUMNS = ("_wl_host", "_wl_reg", "_wl_under")
+
+
+def in_whitelist(name: str, domains) -> Column:
+    """``host`` or ``reg_domain`` is itself in the reputation list."""
+    if isinstance(domains, Listed):
+        return F.col("_wl_host" if name == "host" else "_wl_reg")
+    return in_list(name, domains)
+
+
 def suffix_matches(host: str, domains) -> Column:
     """Column ``host`` equals one of ``domains`` or is a sub-domain of one.
 
@@ -133,6 +152,8 @@ def suffix_matches(host: str, domains) -> Column:
     the test is one set lookup per distinct label count: no join, no loop over
     the dictionary.
     """
+    if isinstance(domains, Listed):
+        return F.col("_wl_under")
     by_labels: dict[int, list[str]] = {}
     for d in domains:
         by_labels.setdefault(d.count(".") + 1, []).append(d)

@@ -100,7 +100,7 @@ def top_per_group(df: DataFrame, keys: list[str], order: list, n: int) -> DataFr
     return df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
 
 
-def bare_domains(df: DataFrame, cap: int | None = 5000) -> DataFrame:
+def bare_domains(df: DataFrame, cap: int | None = None) -> DataFrame:
     """Domains of legitimate path-less https URLs, for the variation generator."""
     slashes = S.count_of(F.col("url"), "/")
     rows = df.filter((F.col("label") == 0) & F.col("url").startswith("https://") & (slashes <= 2))

@@ -153,7 +153,7 @@ def paths(df: DataFrame) -> DataFrame:
         for p in C.PATH_PHISH_PATHS])
 
 
-def urgency(df: DataFrame, cap: int | None = 200) -> DataFrame:
+def urgency(df: DataFrame, cap: int | None = None) -> DataFrame:
     """Urgency URLs for a table of target words (column ``brand``)."""
     out = _templates(df, "urgency", [
         t for w in C.URGENCY_WORDS for tld in C.SUSPICIOUS_TLDS[:8]
@@ -161,7 +161,7 @@ def urgency(df: DataFrame, cap: int | None = 200) -> DataFrame:
     return _first(out, cap, 16)
 
 
-def crypto(df: DataFrame, cap: int | None = 200) -> DataFrame:
+def crypto(df: DataFrame, cap: int | None = None) -> DataFrame:
     """Coin and airdrop URLs for a table of coin names (column ``brand``)."""
     out = _templates(df, "crypto", [
         t for p in C.CRYPTO_PATTERNS for tld in C.SUSPICIOUS_TLDS[:6]
@@ -201,7 +201,7 @@ ASSEMBLY = {
     "hyphenated": ("https", C.TRUSTED_TLDS),
     "affix": ("https", C.TRUSTED_TLDS),
 }
-#: Rows kept per name and family in the corpus build. Fixed values.
+#: Usual rows per name and family, for callers that want them. Fixed values.
 FAMILY_CAPS = {"swap": 5, "omission": 5, "duplication": 3, "leet": 5, "homograph": 3,
                "bitsquat": 3, "combo": 8, "subdomain_abuse": 4, "path": 5}
 
@@ -218,14 +218,14 @@ def assemble(df: DataFrame, seed: int = 42) -> DataFrame:
     return df.withColumns({"url": url, "label": F.lit(1)})
 
 
-def all_families(df: DataFrame) -> DataFrame:
-    """Every per-name family with its cap, as one union of narrow plans."""
+def all_families(df: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
+    """Every per-name family as one union of narrow plans, cut to ``caps`` rows a name where given."""
     from .corpus import cap_per_group, union_corpora
 
     every = union_corpora(swaps(df), omissions(df), duplications(df), leet(df), homographs(df),
                           bitsquats(df), combos(df), subdomain_abuse(df), paths(df),
                           free_hosting(df))
-    return cap_per_group(every, FAMILY_CAPS)
+    return every if caps is None else cap_per_group(every, caps)
 
 
 def legit_variations(df: DataFrame, n: int = 2, seed: int = 42) -> DataFrame:

@@ -80,8 +80,10 @@ def suffix_match(df: DataFrame, dim: DataFrame, host: str = "host", domain: str
     """
     hosts = df.select(F.col(host).alias("_host")).distinct()
     suffixes = hosts.select("_host", F.explode(U.host_suffixes(F.col("_host"))).alias("_suffix"))
-    # A domain has at least one dot; bare TLDs would be the hottest keys.
-    suffixes = suffixes.filter(F.col("_suffix").contains("."))
+    # Only suffixes with as many labels as some domain; so bare TLDs, the hottest keys,
+    # are looked up only if the dictionary has such entries.
+    counts = [r[0] for r in dim.select(F.size(F.split(domain, r"\.")).alias("k")).distinct().collect()]
+    suffixes = suffixes.filter(F.size(F.split("_suffix", r"\.")).isin(counts))
     d = dim.select(F.col(domain).alias("_suffix")).distinct()
     d = broadcast_if_small(d, bound)
     best = (suffixes.join(d, "_suffix")
@@ -117,6 +119,36 @@ def suffix_semi(df: DataFrame, dim: DataFrame, host: str = "host", domain: str =
     return flagged.filter(hit).drop(*[f"_hit{k}" for k in counts])
 
 
+#: Rows of a reputation table that become a set of literals in the expressions.
+LITERAL_ROWS = 20_000
+
+
+def with_reputation(df: DataFrame, whitelist, bound: int = LITERAL_ROWS):
+    """``(df, whitelist)`` ready for expressions over ``host_columns`` output.
+
+    ``whitelist`` may be a sequence or a DataFrame with a ``domain`` column.  A
+    table of at most ``bound`` rows becomes a sequence, so that the test stays
+    a set lookup.  A larger one is joined to the distinct hosts, and its three
+    answers travel as columns.  Both give the same rows.
+    """
+    if not isinstance(whitelist, DataFrame):
+        return df, whitelist
+    table = whitelist.select(F.lower("domain").alias("domain")).filter("domain <> ''").distinct()
+    rows = table.limit(bound + 1).collect()
+    if len(rows) <= bound:
+        return df, tuple(sorted(r["domain"] for r in rows)) or ("",)
+    hosts = df.select("host", "reg_domain").filter(F.col("host").isNotNull()).distinct()
+    found = suffix_match(hosts, table, bound=bound)
+    for name, key in (("_wl_host", "host"), ("_wl_reg", "reg_domain")):
+        own = table.select(F.col("domain").alias(key), F.lit(True).alias(name))
+        found = salted_join(found, own, key)
+    host, reg, under = U.Listed.COLUMNS
+    flags = found.groupBy("host").agg(*[F.coalesce(F.max(c), F.lit(False)).alias(c) for c in (host, reg)],
+                                      F.max(F.col("matched_domain").isNotNull()).alias(under))
+    out = _attach(df, flags, "host", bound)
+    return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in U.Listed.COLUMNS}), U.Listed()
+
+
 def exact_match(df: DataFrame, dim: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Add ``is_known``: host or registered domain is in the dictionary.
 
@@ -189,6 +221,8 @@ def brand_similarity(df: DataFrame, brands: DataFrame, k: int = 2,
     table is exploded as an array so no nested-loop join is planned.
     """
     b = brands.select("idx", "brand")
+    if not is_small(b, LITERAL_BRANDS):
+        return _similar_by_deletions(df.select(F.col(domain).alias("domain_base")).distinct(), b, k)
     pairs = (df.select(F.col(domain).alias("domain_base")).distinct()
              .select("domain_base", F.explode(_brand_array(b)).alias("_b"))
              .select("domain_base", F.col("_b.idx").alias("idx"), F.col("_b.brand").alias("brand")))
@@ -197,10 +231,35 @@ def brand_similarity(df: DataFrame, brands: DataFrame, k: int = 2,
         F.col("dist") >= 0)
 
 
-def _brand_array(b: DataFrame, bound: int = 10_000) -> Column:
+#: Brands that become an array of literals.
+LITERAL_BRANDS = 10_000
+
+
+def deletions(text: Column, k: int) -> Column:
+    """A text and all it gives by deleting up to ``k`` characters."""
+    out = F.array(text)
+    for _ in range(k):
+        shorter = F.transform(out, lambda t: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))),
+            lambda i: F.concat(F.substr(t, F.lit(1), i - 1), F.substr(t, i + 1))))
+        out = F.array_distinct(F.concat(out, F.flatten(shorter)))
+    return out
+
+
+def _similar_by_deletions(domains: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """Brand tables of any size: texts within ``k`` edits share a text with up to ``k`` deletions."""
+    longest = b.agg(F.max(F.length("brand"))).first()[0] or 0
+    near = domains.filter(F.length("domain_base") <= longest + k)
+    left = near.select("domain_base", F.explode(deletions(F.col("domain_base"), k)).alias("_key"))
+    right = b.select("idx", "brand", F.explode(deletions(F.col("brand"), k)).alias("_key"))
+    pairs = left.join(right, "_key").select("domain_base", "idx", "brand").distinct()
+    return pairs.withColumn("dist", F.levenshtein("domain_base", "brand", k)).filter(F.col("dist") >= 0)
+
+
+def _brand_array(b: DataFrame, bound: int = LITERAL_BRANDS) -> Column:
     rows = b.orderBy("idx").limit(bound + 1).collect()
     if len(rows) > bound:
-        raise ValueError(f"brand table larger than {bound} rows; use detect_generated_squats")
+        raise ValueError(f"brand table larger than {bound} rows; use brand_similarity")
     return F.array(*[F.struct(F.lit(r["idx"]).alias("idx"), F.lit(r["brand"]).alias("brand"))
                      for r in rows])
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.constants import FEATURE_NAMES, STARTER_WHITELIST
+from ..functions.constants import FEATURE_NAMES, KNOWN_DOMAINS
 from ..functions.features import feature_expressions
 
 #: Features the heuristic reads, by meaning.
@@ -49,7 +49,7 @@ def heuristic_expression(f: dict[str, Column], mode: str = "named") -> Column:
 def heuristic_score(mode: str = "named", whitelist=None) -> Column:
     """Heuristic over ``prepare``/``host_columns`` output, no feature table needed."""
     names = HEURISTIC_FEATURES if mode == "named" else POSITIONAL_FEATURES
-    return heuristic_expression(feature_expressions(whitelist or STARTER_WHITELIST, names), mode)
+    return heuristic_expression(feature_expressions(whitelist or KNOWN_DOMAINS, names), mode)
 
 
 def check_feature_columns(metadata_features: list[str], columns: list[str]) -> None:

@@ -74,15 +74,23 @@ def fuse(combined: Column, vision: Column, cfg: dict[str, Column]) -> Column:
 
 
 def add_gates(df: DataFrame, url: str = "url", rules: RuleSet = SERVER_RULES,
-              whitelist: Sequence[str] = C.STARTER_WHITELIST) -> DataFrame:
+              whitelist: Sequence[str] | U.Listed | DataFrame = C.KNOWN_DOMAINS) -> DataFrame:
     """Parsed URL plus ``is_whitelisted, rule_score, rule_reason``."""
-    base = U.host_columns(df, url).withColumn(
+    return _gates(df, url, rules, whitelist)[0]
+
+
+def _gates(df: DataFrame, url: str, rules: RuleSet, whitelist) -> tuple[DataFrame, object]:
+    """The gates and the whitelist as expressions can use it."""
+    from .joins import with_reputation
+
+    hosts, whitelist = with_reputation(U.host_columns(df, url), whitelist)
+    base = hosts.withColumn(
         "is_whitelisted", ~F.col("is_malformed") & U.suffix_matches("host", whitelist))
     keep = base.columns
     score, reason = score_and_reason(rules)
     out = add_rule_columns(base, rules).select(
         *keep, score.alias("rule_score"), reason.alias("rule_reason"))
-    return settle(out, "is_whitelisted", "rule_score", "rule_reason")
+    return settle(out, "is_whitelisted", "rule_score", "rule_reason"), whitelist
 
 
 def _fmt(col: Column, digits: int) -> Column:
@@ -176,15 +184,16 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 def hybrid_verdict(df: DataFrame, cfg: Config = DEFAULT_CONFIG, scorer: Scorer | None = None,
                    stage2_scores: DataFrame | None = None, rules: RuleSet = SERVER_RULES,
-                   whitelist: Sequence[str] = C.STARTER_WHITELIST, url: str = "url",
+                   whitelist: Sequence[str] | DataFrame = C.KNOWN_DOMAINS, url: str = "url",
                    final_stage2: bool = True) -> DataFrame:
     """Verdict rows for a table of URLs; input columns are kept.
 
     ``stage2_scores(url, prob, ok, error, screenshot)`` is the visual score
     table; without it the visual stage is off and counts as neutral 0.5.
+    ``whitelist`` is a sequence or a table with a ``domain`` column of any size.
     """
     keep = df.columns
-    gated = add_gates(df, url, rules, whitelist)
+    gated, whitelist = _gates(df, url, rules, whitelist)
     undecided = ~F.col("is_malformed") & ~F.col("is_whitelisted") & (F.col("rule_score") < 0.5)
     if scorer is None:
         # Lazily evaluated only where it is read: decided rows never need it.
@@ -205,13 +214,14 @@ def hybrid_verdict(df: DataFrame, cfg: Config = DEFAULT_CONFIG, scorer: Scorer |
 
 
 def browser_verdict(df: DataFrame, cfg: Config = DEFAULT_CONFIG, url: str = "url",
-                    whitelist: Sequence[str] = C.STARTER_WHITELIST) -> DataFrame:
+                    whitelist: Sequence[str] | DataFrame = C.KNOWN_DOMAINS) -> DataFrame:
     """Browser variant: larger rule set, thresholds straight on the combined score."""
     return hybrid_verdict(df, cfg, rules=BROWSER_RULES, whitelist=whitelist, url=url,
                           final_stage2=False)
 
 
-def config_sweep(df: DataFrame, configs: DataFrame, url: str = "url") -> DataFrame:
+def config_sweep(df: DataFrame, configs: DataFrame, url: str = "url",
+                 whitelist: Sequence[str] | DataFrame = C.KNOWN_DOMAINS) -> DataFrame:
     """Fused verdict of every URL under every configuration row.
 
     Scores are computed once per URL; the configurations (a handful of rows,
@@ -220,9 +230,9 @@ def config_sweep(df: DataFrame, configs: DataFrame, url: str = "url") -> DataFra
     from .joins import broadcast_if_small
 
     keep = df.columns
-    gated = add_gates(df, url)
+    gated, whitelist = _gates(df, url, SERVER_RULES, whitelist)
     undecided = ~F.col("is_malformed") & ~F.col("is_whitelisted") & (F.col("rule_score") < 0.5)
-    scored = gated.withColumn("lex_prob", F.when(undecided, heuristic_score()))
+    scored = gated.withColumn("lex_prob", F.when(undecided, heuristic_score(whitelist=whitelist)))
     scored = scored.select(*keep, "is_malformed", "is_whitelisted", "rule_score", "rule_reason",
                            "lex_prob")
     swept = scored.crossJoin(broadcast_if_small(configs))
@@ -233,15 +243,23 @@ def batch_verdicts(requests: DataFrame, max_urls: int = 100, **kwargs) -> DataFr
     """Verdicts per request, in input order, one bad URL not harming the rest.
 
     Requests outside 1..``max_urls`` URLs are rejected by validation, which is
-    also what bounds the regrouped array.
+    also what bounds the regrouped array; they give a row whose ``rejected``
+    says why and whose ``results`` are NULL.
     """
-    valid = requests.filter(F.size("urls").between(1, max_urls))
+    n = F.coalesce(F.size("urls"), F.lit(-1))
+    fits = n.between(1, max_urls)
+    reason = (F.when(n < 0, F.lit("no list of URLs")).when(n == 0, F.lit("no URLs"))
+              .otherwise(F.lit(f"more than {max_urls} URLs")))
+    valid = requests.filter(fits)
+    refused = requests.filter(~fits).select("request_id", F.greatest(n, F.lit(0)).cast("long").alias("n_urls"),
+                                            reason.alias("rejected"))
     rows = valid.select("request_id", F.posexplode("urls").alias("pos", "url"))
     v = hybrid_verdict(rows, **kwargs)
     item = F.struct("pos", "url", "verdict", "risk", "fast_path")
-    return v.groupBy("request_id").agg(
+    done = v.groupBy("request_id").agg(
         F.array_sort(F.collect_list(item)).alias("results"),
-        F.count(F.lit(1)).alias("n_urls"))
+        F.count(F.lit(1)).alias("n_urls"), F.lit(None).cast("string").alias("rejected"))
+    return done.unionByName(refused, allowMissingColumns=True)
 
 
 def display_fields(df: DataFrame) -> DataFrame:

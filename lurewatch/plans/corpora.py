@@ -126,7 +126,9 @@ def nav(spark: SparkSession, sf_dir: str) -> DataFrame:
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Protected names: the site label of every page host."""
     host = F.regexp_extract("url", r"^[a-z]+://([^/?#:]*)", 1)
-    label = F.element_at(F.split(host, r"\."), -3)
+    labels = F.split(host, r"\.")
+    label = F.coalesce(F.try_element_at(labels, F.lit(-3)), F.try_element_at(labels, F.lit(-2)),
+                       F.try_element_at(labels, F.lit(-1)))
     return load(spark, sf_dir, "pages").select(label.alias("brand")).distinct()
 
 
@@ -167,8 +169,8 @@ def duck_corpora() -> dict[str, str]:
             "CASE WHEN e.event_type = 'view' THEN 0 ELSE 1 END AS frame_id, u.url AS url "
             "FROM events e JOIN ev_urls u ON u.seq = e.event_id"),
         "names": (
-            "SELECT DISTINCT list_extract(string_split(regexp_extract(url, "
-            "'^[a-z]+://([^/?#:]*)', 1), '.'), -3) AS brand FROM pages"),
+            "SELECT DISTINCT coalesce(list_extract(l, -3), list_extract(l, -2), list_extract(l, -1)) AS brand FROM "
+            "(SELECT string_split(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1), '.') AS l FROM pages)"),
         "scored": (
             "SELECT d.doc_id, l.quality AS label, round((d.n_chars % 1000) / 1000.0::DOUBLE, 3) "
             "AS score FROM documents d JOIN labels l ON l.doc_id = d.doc_id"),

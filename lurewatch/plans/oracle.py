@@ -85,6 +85,9 @@ def suffix_in(host: str, domains) -> str:
 _EDGE = r"[\s\x1c-\x1f\x{85}\p{Z}]+"
 
 
+BRACKETS_SQL = (r"^[^\[]*\[(?:" + C.BRACKETED + r")\]").replace("'", "''")
+
+
 def parsed(src: str) -> dict[str, str]:
     """Sub-queries turning ``src`` (any columns, ``url``) into parsed rows ``p_<src>``."""
     return {
@@ -99,7 +102,9 @@ def parsed(src: str) -> dict[str, str]:
             f"regexp_extract(tt, '{URL_REGEX}', 3) AS path0, "
             f"regexp_extract(tt, '{URL_REGEX}', 4) AS query FROM p2_{src}"),
         f"p4_{src}": (
-            f"SELECT *, lower(net0) AS netloc, contains(net0, '[') <> contains(net0, ']') AS is_malformed, "
+            f"SELECT *, lower(net0) AS netloc, (url IS NULL OR contains(net0, '[') <> contains(net0, ']') "
+            f"OR (contains(net0, '[') AND NOT regexp_matches(net0, '{BRACKETS_SQL}')) "
+            f"OR regexp_matches(net0, '[{C.DELIMITER_LIKE}]')) AS is_malformed, "
             f"CASE WHEN scheme IN {tup(PARAM_SCHEMES)} THEN regexp_replace(path0, ';[^/]*$', '') "
             f"ELSE path0 END AS path, split_part(lower(net0), ':', 1) AS host FROM p3_{src}"),
         f"p5_{src}": (
@@ -118,7 +123,7 @@ def parsed(src: str) -> dict[str, str]:
 
 def feature_sql() -> dict[str, str]:
     u, h, p, q, d, nl, tld = "u", "host", "path", "query", "domain_base", "netloc", "tld"
-    wl = tup(C.STARTER_WHITELIST)
+    wl = tup(C.KNOWN_DOMAINS)
     lp, lu = "lower(path)", "lower(u)"
     known = f"(host IN {wl} OR (contains(host, '.') AND NOT is_ip AND reg_domain IN {wl}))"
     segs = "len(list_filter(string_split(path, '/'), lambda s: s <> ''))"
@@ -204,7 +209,7 @@ def feature_sql() -> dict[str, str]:
         "num_special_in_path": count_re(p, "[^\\p{L}\\p{N}/.]"),
         "has_long_query": flag("length(query) > 100"),
         "is_known_legitimate": flag(known),
-        "domain_name_in_whitelist": flag(f"NOT {known} AND {suffix_in(h, C.STARTER_WHITELIST)}"),
+        "domain_name_in_whitelist": flag(f"NOT {known} AND {suffix_in(h, C.KNOWN_DOMAINS)}"),
         "brand_near_match": flag(f"length({d}) >= 3 AND {near_at} < 9999 AND {near_at} < {match_at}"),
         "brand_hyphenated_domain": flag(
             both(f"len(string_split({d}, '-')) = 2", f"({hyph(p0)} OR {hyph(p1)})")),
@@ -355,7 +360,7 @@ def verdicts(src: str, browser: bool = False, out: str | None = None, cfg: dict[
     return {
         f"{out}_a": (
             f"SELECT c.*, greatest(lex_prob, rule_score * 0.8e0) AS comb, "
-            f"NOT is_malformed AND {suffix_in('host', C.STARTER_WHITELIST)} AS is_wl{vis_cols} "
+            f"NOT is_malformed AND {suffix_in('host', C.KNOWN_DOMAINS)} AS is_wl{vis_cols} "
             f"FROM {rtag}_{src} c{join}"),
         f"{out}_b": (
             f"SELECT *, CASE WHEN is_malformed THEN 'error' WHEN is_wl THEN 'whitelist' "

@@ -88,8 +88,7 @@ def scan_fallback_sample(spark, d):
 
 
 @query("feed_verified_csv", O.sql(
-    "SELECT trim(url) AS url, 1 AS label FROM ev_urls WHERE label = 1 AND trim(url) <> '' "
-    "ORDER BY 1 LIMIT 20000"))
+    "SELECT trim(url) AS url, 1 AS label FROM ev_urls WHERE label = 1 AND trim(url) <> ''"))
 def feed_verified_csv(spark, d):
     path = feeds.work_dir(spark, "verified")
     ev = P.event_urls(P.load(spark, d, "events")).filter("label = 1")
@@ -99,8 +98,7 @@ def feed_verified_csv(spark, d):
 
 
 @query("feed_lines", O.sql(
-    "SELECT trim(url) AS url, 1 AS label FROM corpus WHERE starts_with(trim(url), 'http') "
-    "ORDER BY 1 LIMIT 10000"))
+    "SELECT trim(url) AS url, 1 AS label FROM corpus WHERE starts_with(trim(url), 'http')"))
 def feed_lines(spark, d):
     path = feeds.work_dir(spark, "lines")
     P.corpus(spark, d).select("url").write.text(path)
@@ -108,8 +106,7 @@ def feed_lines(spark, d):
 
 
 @query("feed_commented_csv", O.sql(
-    "SELECT trim(url) AS url, 1 AS label FROM ev_urls WHERE label = 1 AND seq % 3 > 0 "
-    "ORDER BY 1 LIMIT 10000"))
+    "SELECT trim(url) AS url, 1 AS label FROM ev_urls WHERE label = 1 AND seq % 3 > 0"))
 def feed_commented_csv(spark, d):
     path = feeds.work_dir(spark, "commented")
     ev = P.event_urls(P.load(spark, d, "events")).filter("label = 1")
@@ -125,8 +122,7 @@ def feed_commented_csv(spark, d):
 
 @query("feed_ranked_domains", O.sql(
     "SELECT page_id AS rank, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS domain, "
-    "'https://' || regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS url, 0 AS label FROM pages "
-    "ORDER BY rank LIMIT 20000"))
+    "'https://' || regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS url, 0 AS label FROM pages"))
 def feed_ranked_domains(spark, d):
     path = feeds.work_dir(spark, "ranked")
     domain = F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)
@@ -186,7 +182,7 @@ def dim_tlds(spark, d):
 
 
 @query("dim_whitelist", O.sql(
-    f"SELECT w.domain AS domain, count(p.url) AS n_urls FROM (SELECT unnest({O.lst(C.STARTER_WHITELIST)}) AS domain) w "
+    f"SELECT w.domain AS domain, count(p.url) AS n_urls FROM (SELECT unnest({O.lst(C.KNOWN_DOMAINS)}) AS domain) w "
     "LEFT JOIN p_corpus p ON p.host = w.domain GROUP BY ALL", PC))
 def dim_whitelist(spark, d):
     counts = hosts(spark, d).groupBy(F.col("host").alias("domain")).agg(F.count(F.lit(1)).alias("n_urls"))
@@ -293,7 +289,7 @@ def _with_bare(spark, d) -> DataFrame:
     return P.corpus(spark, d).select("url", "label").unionByName(pages)
 
 
-@query("bare_domains", O.sql("SELECT domain FROM bare ORDER BY domain LIMIT 5000", CORPUS2, BARE))
+@query("bare_domains", O.sql("SELECT domain FROM bare", CORPUS2, BARE))
 def bare_domains(spark, d):
     return K.bare_domains(_with_bare(spark, d))
 
@@ -365,12 +361,15 @@ kernel("keyword_count", "", None,
 
 
 @query("str_levenshtein", O.sql(
-    f"SELECT domain_base, b AS brand, {O.lev('da', 'b')} AS dist FROM "
-    f"(SELECT DISTINCT domain_base, da FROM p_corpus), (SELECT unnest({O.BR}) AS b)", PC))
+    f"SELECT b AS brand, min(dist) AS nearest, count(*) FILTER (dist <= 2) AS n_close, CAST(sum(dist) AS BIGINT) AS total FROM "
+    f"(SELECT b, {O.lev('da', 'b')} AS dist FROM (SELECT DISTINCT domain_base, da FROM p_corpus), "
+    f"(SELECT unnest({O.BR}) AS b)) GROUP BY b", PC))
 def str_levenshtein(spark, d):
     dom = hosts(spark, d).select("domain_base").distinct()
-    return dom.select("domain_base", F.explode(S.str_array(C.BRANDS)).alias("brand")).withColumn(
-        "dist", F.levenshtein("domain_base", "brand"))
+    pairs = dom.select("domain_base", F.explode(S.str_array(C.BRANDS)).alias("brand"))
+    dist = F.levenshtein("domain_base", "brand")
+    return pairs.groupBy("brand").agg(F.min(dist).alias("nearest"), F.count_if(dist <= 2).alias("n_close"),
+                                      F.sum(dist).alias("total"))
 
 
 # --- the 77 features, by family -------------------------------------------------
@@ -389,14 +388,14 @@ for _tag, _names in C.FEATURE_FAMILIES.items():
 # --- joins ---------------------------------------------------------------------
 
 @query("join_whitelist_suffix", O.sql(
-    f"SELECT source, seq, host FROM p_corpus WHERE {O.suffix_in('host', C.STARTER_WHITELIST)}", PC))
+    f"SELECT source, seq, host FROM p_corpus WHERE {O.suffix_in('host', C.KNOWN_DOMAINS)}", PC))
 def join_whitelist_suffix(spark, d):
     return J.suffix_semi(hosts(spark, d).select(*KEY, "host"), dims.whitelist(spark))
 
 
 @query("join_whitelist_exact", O.sql(
-    f"SELECT source, seq, host, (host IN {O.tup(C.STARTER_WHITELIST)} OR (contains(host, '.') AND NOT is_ip "
-    f"AND reg_domain IN {O.tup(C.STARTER_WHITELIST)})) AS is_known FROM p_corpus", PC))
+    f"SELECT source, seq, host, (host IN {O.tup(C.KNOWN_DOMAINS)} OR (contains(host, '.') AND NOT is_ip "
+    f"AND reg_domain IN {O.tup(C.KNOWN_DOMAINS)})) AS is_known FROM p_corpus", PC))
 def join_whitelist_exact(spark, d):
     rows = hosts(spark, d).select(*KEY, "host", "is_ip", "reg_domain")
     return J.exact_match(rows, dims.whitelist(spark)).select(*KEY, "host", "is_known")
@@ -648,7 +647,8 @@ LR = O.lex_scores("req_rows")
 
 @query("batch_verdicts", O.sql(
     "SELECT request_id, string_agg(pos::VARCHAR || ':' || verdict || ':' || printf('%.6f', risk) || ':' || fast_path::VARCHAR, ' ' "
-    "ORDER BY pos) AS results, count(*) AS n_urls FROM v_req_rows GROUP BY request_id", REQ, PR, LR, RR, VR))
+    "ORDER BY pos) AS results, count(*) AS n_urls, NULL::VARCHAR AS rejected FROM v_req_rows GROUP BY request_id "
+    "UNION ALL SELECT request_id, NULL, len(urls), 'more than 100 URLs' FROM reqs WHERE len(urls) > 100", REQ, PR, LR, RR, VR))
 def batch_verdicts(spark, d):
     ev = P.event_urls(feeds.spread(P.load(spark, d, "events")))
     # requests of about 94 URLs; every seventh block collects more and is rejected
@@ -659,7 +659,7 @@ def batch_verdicts(spark, d):
     out = V.batch_verdicts(reqs)
     text = F.transform("results", lambda x: F.concat_ws(
         ":", x["pos"].cast("string"), x["verdict"], F.format_number(x["risk"], 6), x["fast_path"].cast("string")))
-    return out.select("request_id", F.array_join(text, " ").alias("results"), "n_urls")
+    return out.select("request_id", F.array_join(text, " ").alias("results"), "n_urls", "rejected")
 
 
 @query("verdict_display_fields", O.sql(
@@ -719,12 +719,24 @@ def ml_hard_label(spark, d):
 
 
 @query("model_feature_check", O.sql(
-    f"SELECT source, count(*) AS n_rows, {len(C.FEATURE_NAMES)} AS n_features, true AS accepted FROM corpus GROUP BY source"))
+    "SELECT source, model, count(*) AS n_rows, model = 'same' AS accepted FROM corpus, "
+    "(VALUES ('same'), ('short'), ('reordered')) v(model) GROUP BY source, model"))
 def model_feature_check(spark, d):
-    table = FE.extract_features(P.corpus(spark, d))
-    M.check_feature_columns(list(C.FEATURE_NAMES), table.columns)
-    return table.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows")).select(
-        "source", "n_rows", F.lit(len(C.FEATURE_NAMES)).alias("n_features"), F.lit(True).alias("accepted"))
+    # The feature lists of three saved models: as fitted, one feature short, two features swapped.
+    table, names = FE.extract_features(P.corpus(spark, d)), list(C.FEATURE_NAMES)
+    path = feeds.work_dir(spark, "feature-lists")
+    spark.createDataFrame([("same", names), ("short", names[:-1]), ("reordered", [names[1], names[0], *names[2:]])],
+                          "model string, features array<string>").write.parquet(path)
+    outcomes = []
+    for saved in spark.read.parquet(path).collect():
+        try:
+            M.check_feature_columns(list(saved["features"]), table.columns)
+            outcomes.append((saved["model"], True))
+        except ValueError:
+            outcomes.append((saved["model"], False))
+    models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(a).alias("accepted")) for m, a in outcomes]))
+    return table.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows")).select("source", "n_rows", models.alias("_m")).select(
+        "source", "_m.model", "n_rows", "_m.accepted")
 
 
 @query("split_stratified", O.sql(
@@ -868,10 +880,13 @@ def dedup_within_label(spark, d):
 
 
 @query("label_conflicts", O.sql(
-    "SELECT url, count_if(label = 1) AS n_phishing, count_if(label = 0) AS n_legit FROM corpus GROUP BY url "
+    "SELECT url, count_if(label = 1) AS n_phishing, count_if(label = 0) AS n_legit FROM "
+    "(SELECT url, label FROM corpus UNION ALL SELECT url, 1 FROM pages WHERE contains(url, '?')) GROUP BY url "
     "HAVING count(DISTINCT label) > 1"))
 def label_conflicts(spark, d):
-    return K.label_conflicts(P.corpus(spark, d))
+    # Pages with a query, reported by a second feed as phishing.
+    reported = P.load(spark, d, "pages").filter(F.col("url").contains("?")).select("url", F.lit(1).alias("label"))
+    return K.label_conflicts(P.corpus(spark, d).select("url", "label").unionByName(reported))
 
 
 @query("shuffle_seeded", O.sql(
@@ -976,8 +991,8 @@ def capped(name: str, fn, templates, per_word: int, family: str):
         "FROM g LEFT JOIN top t ON t.brand = g.brand AND t.pos = g.pos", ctes))
     def run(spark, d):
         n = P.names(spark, d)
-        top = fn(n).select("brand", "pos", F.lit(True).alias("in_cap"))
-        return fn(n, cap=None).join(F.broadcast(top), ["brand", "pos"], "left").select(
+        top = fn(n, cap=200).select("brand", "pos", F.lit(True).alias("in_cap"))
+        return fn(n).join(F.broadcast(top), ["brand", "pos"], "left").select(
             "brand", "family", "pos", "variant", F.coalesce("in_cap", F.lit(False)).alias("in_cap"))
 
 
@@ -1018,12 +1033,12 @@ _AKEY = "brand || '|' || family || '|' || pos || '|42'"
 ASSEMBLED = {"assembled": "SELECT brand, family, pos, variant, CASE " + " ".join(
     f"WHEN family = '{f}' THEN '{scheme}://' || variant || '.' || {sql_pick(tlds, _AKEY)}"
     for f, (scheme, tlds) in G.ASSEMBLY.items())
-    + " WHEN starts_with(variant, 'http') THEN variant ELSE 'http://' || variant END AS url, 1 AS label FROM allf"}
+    + " WHEN starts_with(variant, 'http') THEN variant ELSE 'http://' || variant END AS url, 1 AS label FROM allf0"}
 
 
 @query("cap_per_group", O.sql("SELECT brand, family, pos, variant FROM allf", ALLF))
 def cap_per_group(spark, d):
-    return G.all_families(P.names(spark, d))
+    return G.all_families(P.names(spark, d), G.FAMILY_CAPS)
 
 
 @query("gen_assemble", O.sql("SELECT brand, family, pos, variant, url, label FROM assembled", ALLF, ASSEMBLED))
@@ -1040,7 +1055,7 @@ SQL_LEGIT = (f"['https://' || domain, 'https://' || domain || {_path_pick('p1')}
              f"'https://' || {_SUBPICK} || '.' || domain, 'https://' || {_SUBPICK} || '.' || domain || {_path_pick('subpath')}]")
 LEGITV = {"legitv": (
     "SELECT domain, unnest(vs) AS url, generate_subscripts(vs, 1) AS pos, 0 AS label FROM "
-    f"(SELECT domain, {SQL_LEGIT} AS vs FROM (SELECT domain FROM bare ORDER BY domain LIMIT 5000))")}
+    f"(SELECT domain, {SQL_LEGIT} AS vs FROM bare)")}
 
 
 @query("gen_legit_variations", O.sql("SELECT domain, pos, url, label FROM legitv", CORPUS2, BARE, LEGITV))
@@ -1051,18 +1066,21 @@ def gen_legit_variations(spark, d):
 def build_corpus(spark, d) -> DataFrame:
     """Feeds + new generated phishing + legitimate variations, first label wins."""
     base = feeds.union_feeds(_feeds(spark, d))
-    new = J.anti_existing(G.assemble(G.all_families(P.names(spark, d))), base).select(
+    # Generated URLs that a feed has already lose to it by priority.
+    new = G.assemble(G.all_families(P.names(spark, d))).select(
         "url", "label", F.lit("generated").alias("source"), F.lit(3).alias("priority"))
     legit = G.legit_variations(K.bare_domains(_with_bare(spark, d))).select(
         "url", "label", F.lit("variation").alias("source"), F.lit(4).alias("priority"))
-    both = K.union_corpora(base, new, legit).withColumn("seq", F.lit(0))
+    # Inside a source the first row wins, too: ``seq`` is its place there.
+    both = K.union_corpora(base, new.withColumn("seq", F.lit(0).cast("long")),
+                           legit.withColumn("seq", F.lit(0).cast("long")))
     return K.dedup_keep_first(both)
 
 
 BUILD = {"built": (
-    "SELECT url, label, priority FROM (SELECT url, label, priority FROM feed_all UNION ALL "
-    "SELECT url, label, 3 FROM assembled WHERE url NOT IN (SELECT url FROM feed_all) UNION ALL "
-    "SELECT url, label, 4 FROM legitv) QUALIFY row_number() OVER (PARTITION BY url ORDER BY priority, label) = 1")}
+    "SELECT url, label, priority FROM (SELECT url, label, priority, seq FROM feed_all UNION ALL "
+    "SELECT url, label, 3, 0 FROM assembled UNION ALL "
+    "SELECT url, label, 4, 0 FROM legitv) QUALIFY row_number() OVER (PARTITION BY url ORDER BY priority, seq, label) = 1")}
 
 
 @query("corpus_build", O.sql(
@@ -1151,6 +1169,18 @@ PL, LL = O.parsed("links"), O.lex_scores("links")
 RLK, VL = O.rules("links", base="lex_links"), O.verdicts("links")
 
 
+@query("verdict_site_reputation", O.sql(
+    "SELECT source, seq, verdict, stage FROM (SELECT c.source, c.seq, CASE WHEN k.host IS NOT NULL THEN 'Safe' ELSE c.verdict END AS verdict, "
+    "CASE WHEN k.host IS NOT NULL THEN 'whitelist' ELSE c.stage END AS stage FROM v_corpus c LEFT JOIN "
+    "(SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages) k "
+    "ON k.host = c.host AND NOT c.is_malformed) WHERE stage = 'whitelist'", PC, LEX, RL, VC))
+def verdict_site_reputation(spark, d):
+    # The reputation table is the built-in list and the hosts of all pages.
+    hosts_ = P.load(spark, d, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("domain"))
+    table = dims.whitelist(spark).unionByName(hosts_).distinct()
+    return V.hybrid_verdict(P.corpus(spark, d), whitelist=table).filter("stage = 'whitelist'").select(*KEY, "verdict", "stage")
+
+
 @query("page_link_verdicts", O.sql(
     "SELECT page_id, pos, url, verdict, round(risk, 6) AS risk, stage FROM v_links", PL, LL, RLK, VL))
 def page_link_verdicts(spark, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import features as FE
+from ..functions import urls as U
 from ..functions.constants import FEATURE_NAMES
 from ..operators import training as TR
 from ..operators import verdict as V
@@ -23,7 +24,7 @@ FOREST = {"trees": 16, "depth": 8}
 
 
 def _labelled(spark, d) -> DataFrame:
-    return P.corpus(spark, d).filter("instr(url, '[') = 0").select("url", "label")
+    return U.parse_url_columns(P.corpus(spark, d)).filter("not is_malformed").select("url", "label")
 
 
 @query("ml_train_gbt")
@@ -130,6 +131,28 @@ def stream_ttl_dedup(spark, d):
     return _run(T.ttl_dedup_stream(sites), "nav-ttl")
 
 
+def _actions(spark, d, **switches) -> str:
+    base = feeds.work_dir(spark, "nav-actions")
+    T.run_actions(_nav_stream(spark, d), f"{base}/verdicts", f"{base}/alerts", f"{base}/checkpoint",
+                  lambda: T.ResponseConfig(**switches)).awaitTermination()
+    return base
+
+
+@query("stream_actions_without_badge", O.sql(
+    "SELECT ts, tab_id, url, verdict, false AS should_block, false AS should_alert FROM vb_navf", NAVF, PN, LN, RN, VN))
+def stream_actions_without_badge(spark, d):
+    return spark.read.parquet(f"{_actions(spark, d, show_badge=False)}/verdicts").select(
+        "ts", "tab_id", "url", "verdict", "should_block", "should_alert")
+
+
+@query("stream_actions_alert_only", O.sql(
+    "SELECT ts, tab_id, url, verdict, false AS should_block, verdict IN ('Phishing', 'Suspicious') AS should_alert FROM vb_navf",
+    NAVF, PN, LN, RN, VN))
+def stream_actions_alert_only(spark, d):
+    return spark.read.parquet(f"{_actions(spark, d, block_mode='alert')}/verdicts").select(
+        "ts", "tab_id", "url", "verdict", "should_block", "should_alert")
+
+
 @query("stream_actions", O.sql(
     "SELECT ts, tab_id, url, verdict, true AS should_block, true AS should_alert FROM vb_navf "
     "WHERE verdict IN ('Phishing', 'Suspicious')", NAVF, PN, LN, RN, VN))

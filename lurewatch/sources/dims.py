@@ -34,7 +34,7 @@ def whitelist(spark: SparkSession, path: str | None = None,
         return lines.filter((F.col("domain") != "") & ~F.col("domain").startswith("#")).distinct()
     if ranked is not None:
         return ranked.select(F.lower("domain").alias("domain")).distinct()
-    return spark.createDataFrame([(d,) for d in C.STARTER_WHITELIST], "domain string")
+    return spark.createDataFrame([(d,) for d in C.KNOWN_DOMAINS], "domain string")
 
 
 def free_hosting(spark: SparkSession) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A ``cap`` keeps the first n rows of a defined order (rank, or the URL text
 where a feed has none), so a capped read gives the same rows on any number of
-executors.  ``cap=None`` reads everything.
+executors.  By default everything is read.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import constants as C
 
 LABELLED_SCHEMA = "url string, label int"
-#: Default row caps per feed. Fixed values.
+#: Usual row caps of the four feeds, for callers that want them. Fixed values.
 VERIFIED_CAP, LINES_CAP, COMMENTED_CAP, RANKED_CAP = 20_000, 10_000, 10_000, 20_000
 
 
@@ -44,6 +44,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def _trimmed(name: str):
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(name, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
 def _cap(df: DataFrame, cap: int | None, *order) -> DataFrame:
     return df if cap is None else df.orderBy(*order).limit(cap)
 
@@ -63,44 +68,45 @@ def or_fallback(df: DataFrame, kind: str = "feed") -> DataFrame:
     return fallback_sample(df.sparkSession, kind) if df.isEmpty() else df
 
 
-def read_verified_csv(spark: SparkSession, path: str, cap: int | None = VERIFIED_CAP) -> DataFrame:
+def read_verified_csv(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
     """Header CSV with a ``url`` column among others; only that one is read."""
     raw = spark.read.option("header", True).option("escape", '"').csv(path)
-    out = raw.select(F.trim("url").alias("url")).filter(F.col("url") != "")
+    out = raw.select(_trimmed("url").alias("url")).filter(F.col("url") != "")
     return _cap(out, cap, "url").withColumn("label", F.lit(1))
 
 
-def read_lines(spark: SparkSession, path: str, cap: int | None = LINES_CAP) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
     """One URL per line; lines not starting with ``http`` are dropped."""
-    out = spark.read.text(path).select(F.trim("value").alias("url"))
+    out = spark.read.text(path).select(_trimmed("value").alias("url"))
     return _cap(out.filter(F.col("url").startswith("http")), cap, "url").withColumn(
         "label", F.lit(1))
 
 
 def read_commented_csv(spark: SparkSession, path: str,
-                       cap: int | None = COMMENTED_CAP) -> DataFrame:
+                       cap: int | None = None) -> DataFrame:
     """``#``-commented CSV (id, dateadded, url, threat, status); online rows only."""
     schema = "id string, dateadded string, url string, threat string, status string"
     raw = (spark.read.schema(schema).option("comment", "#").option("escape", '"').csv(path))
-    out = (raw.select(F.trim("url").alias("url"), F.trim("status").alias("status"))
+    out = (raw.select(_trimmed("url").alias("url"), _trimmed("status").alias("status"))
            .filter((F.col("url") != "") & (F.col("status") == "online")).select("url"))
     return _cap(out, cap, "url").withColumn("label", F.lit(1))
 
 
-def read_ranked(spark: SparkSession, path: str, cap: int | None = RANKED_CAP) -> DataFrame:
+def read_ranked(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
     """Headerless ``rank,domain``; the best ``cap`` ranks as legitimate URLs."""
     raw = spark.read.schema("rank bigint, domain string").csv(path)
-    out = raw.withColumn("domain", F.trim("domain")).filter(F.col("domain") != "")
+    out = raw.withColumn("domain", _trimmed("domain")).filter(F.col("domain") != "")
     return _cap(out, cap, "rank", "domain").select(
         "rank", "domain", F.concat(F.lit("https://"), F.col("domain")).alias("url"),
         F.lit(0).alias("label"))
 
 
 def union_feeds(feeds: dict[str, DataFrame]) -> DataFrame:
-    """Union in the given order; ``priority`` is the position of the feed."""
+    """Union in the given order; ``priority`` is the position of the feed, ``seq`` a row's place in it (0 if unknown)."""
     out = None
     for i, (name, df) in enumerate(feeds.items()):
-        part = df.select("url", "label", F.lit(name).alias("source"), F.lit(i).alias("priority"))
+        seq = F.col("seq").cast("long") if "seq" in df.columns else F.lit(0).cast("long")
+        part = df.select("url", "label", F.lit(name).alias("source"), F.lit(i).alias("priority"), seq.alias("seq"))
         out = part if out is None else out.unionByName(part)
     return out
 

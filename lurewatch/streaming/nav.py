@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.verdict import DEFAULT_CONFIG, Config, browser_verdict, display_fields, response_actions
@@ -61,10 +61,12 @@ def nav_verdicts(df: DataFrame, cfg: ResponseConfig = ResponseConfig(), **kwargs
 
 
 def nav_actions(df: DataFrame, cfg: ResponseConfig = ResponseConfig()) -> DataFrame:
-    """Badge and block / alert columns for verdict rows; off without a badge."""
-    if not cfg.show_badge:
-        return df.filter(F.lit(False))
-    return response_actions(display_fields(df), cfg.block_mode)
+    """Badge and block / alert columns for verdict rows; without a badge no row acts, none is lost."""
+    out = response_actions(display_fields(df), cfg.block_mode)
+    if cfg.show_badge:
+        return out
+    return out.withColumns({"should_block": F.lit(False), "should_alert": F.lit(False), "badge_text": F.lit(""),
+                            "warning_url": F.lit(None).cast("string")})
 
 
 def merge_config(current: DataFrame, patch: DataFrame, key: str = "config_id") -> DataFrame:
@@ -118,7 +120,7 @@ def ttl_dedup_stream(df: DataFrame, ttl_seconds: int = TTL_SECONDS,
         GroupStateTimeout.EventTimeTimeout)
 
 
-def ttl_dedup(df: DataFrame, ttl_seconds: int = TTL_SECONDS, hot_rows: int = 50_000) -> DataFrame:
+def ttl_dedup(df: DataFrame, ttl_seconds: int = TTL_SECONDS, hot_rows: int = 2_000) -> DataFrame:
     """Batch twin of the TTL cache: one row per analysis (url, ts).
 
     URLs with at most ``hot_rows`` distinct times are folded as one sorted array
@@ -211,16 +213,58 @@ def _double_chain(times: DataFrame, ttl_us: int) -> DataFrame:
 
 # --- sinks -----------------------------------------------------------------
 
+def configured(spark: SparkSession, patches: DataFrame | None = None,
+               start: ResponseConfig = ResponseConfig()) -> ResponseConfig:
+    """``start`` with one row of partial updates (``merge_config``) applied."""
+    if patches is None:
+        return start
+    fields = ", ".join(["config_id int", *(f"{f} {'string' if f == 'block_mode' else 'boolean'}" for f in CONFIG_FIELDS),
+                        "thresholds struct<" + ", ".join(f"{f}: double" for f in THRESHOLD_FIELDS) + ">"])
+    current = spark.createDataFrame([(0, *(getattr(start, f) for f in CONFIG_FIELDS),
+                                      tuple(start.thresholds[f] for f in THRESHOLD_FIELDS))], fields)
+    row = merge_config(current, patches.withColumn("config_id", F.lit(0))).first()
+    return ResponseConfig(*(row[f] for f in CONFIG_FIELDS), thresholds=row["thresholds"].asDict())
+
+
+def due(batch: DataFrame, last: DataFrame | None, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
+    """``(url, ts)`` of a batch whose last analysis is old enough; ``last`` has one ``ts`` for each URL.
+
+    The last analysis opens the chain of its URL, so the batch twin of the TTL
+    cache, with its split path for busy URLs, does the work.
+    """
+    times = batch.select("url", "ts")
+    if last is None:
+        return ttl_dedup(times, ttl_seconds)
+    known = last.select("url", F.col("ts").alias("_last"))
+    fresh = times.join(known, "url", "left").filter(F.col("_last").isNull() | (F.col("ts") > F.col("_last"))).select("url", "ts")
+    chain = ttl_dedup(fresh.unionByName(last.select("url", "ts")), ttl_seconds)
+    return chain.join(last.select("url", "ts"), ["url", "ts"], "left_anti")
+
+
 def run_actions(stream: DataFrame, verdict_path: str, alert_path: str, checkpoint: str,
-                read_config: Callable[[], ResponseConfig] = ResponseConfig):
+                read_config: Callable[[], ResponseConfig] = ResponseConfig,
+                ttl_seconds: int | None = None):
     """Write verdicts and alerts per micro-batch, re-reading the config each time.
 
+    Order of a batch: navigation filter, TTL, verdicts, actions.  With
+    ``ttl_seconds`` a URL is analysed again only when its last analysis is that
+    old; these times are kept below ``checkpoint``, a folder for each batch.
     Batches land in ``batch_id=n`` folders that are overwritten on a retry, so
     an executor or driver loss does not duplicate rows.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
-        cfg = read_config()
-        rows = nav_actions(nav_verdicts(batch, cfg), cfg)
+        cfg, spark = read_config(), batch.sparkSession
+        seen = nav_filter(batch, cfg)
+        if ttl_seconds is not None:
+            state, last = f"{checkpoint}-last", None
+            if batch_id > 0:
+                last = spark.read.schema("url string, ts timestamp").parquet(f"{state}/batch_id={batch_id - 1}")
+            analysed = due(seen, last, ttl_seconds)
+            kept = analysed if last is None else analysed.unionByName(last)
+            kept.groupBy("url").agg(F.max("ts").alias("ts")).write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+            first = seen.groupBy("url", "ts").agg(F.min(F.struct(*[c for c in seen.columns if c not in ("url", "ts")])).alias("_e"))
+            seen = first.join(analysed, ["url", "ts"]).select("url", "ts", "_e.*").select(*seen.columns)
+        rows = nav_actions(browser_verdict(seen, cfg.cascade()), cfg)
         path = f"{verdict_path}/batch_id={batch_id}"
         rows.write.mode("overwrite").parquet(path)
         done = batch.sparkSession.read.schema(rows.schema).parquet(path)
@@ -237,14 +281,47 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str):
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def resolve(href: Column, base: str) -> Column:
+    """RFC 3986 resolution of a reference against the URL in column ``base``, the fragment dropped."""
+    b = F.substring_index(F.substring_index(F.col(base), "#", 1), "?", 1)
+    scheme = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
+    origin = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/]*)", 1)
+    path = F.substr(b, F.length(origin) + 1)
+    ref = F.substring_index(href, "#", 1)
+    own_path, own_query = F.substring_index(ref, "?", 1), F.regexp_extract(ref, r"^[^?]*(\?.*)$", 1)
+    query = F.regexp_extract(F.substring_index(F.col(base), "#", 1), r"^[^?]*(\?.*)$", 1)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "[^/]*$", ""))
+    merged = _no_dots(F.when(own_path.startswith("/"), own_path).otherwise(F.concat(folder, own_path)))
+    return (F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), ref)
+            .when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref))
+            .when(ref == "", F.concat(origin, path, query))
+            .when(own_path == "", F.concat(origin, path, own_query))
+            .otherwise(F.concat(origin, merged, own_query)))
+
+
+def _no_dots(path: Column) -> Column:
+    """Remove dot segments of an absolute path."""
+    parts = F.split(F.substr(path, F.lit(2)), "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(
+        x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    # A path that ends in a dot segment names a folder.
+    end = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), end)
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """Links of raw pages with the page's origin put before root-relative ones."""
-    origin = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
-    href = F.regexp_extract_all("html", F.lit(r'href="([^"]+)"'), F.lit(1))
-    rows = pages.select("page_id", F.col("url").alias("page_url"), origin.alias("_o"),
-                        F.posexplode(href).alias("pos", "href"))
-    link = (F.when(F.col("href").startswith("//"), F.concat(
-        F.regexp_extract("_o", "^([^:]*:)", 1), F.col("href")))
-        .when(F.col("href").startswith("/"), F.concat("_o", "href"))
-        .otherwise(F.col("href")))
-    return rows.select("page_id", "pos", link.alias("url"))
+    """``page_id, pos, url``: the links of raw pages as a browser resolves them.
+
+    Quoted in either way or not at all, in any case, with ``&amp;`` decoded.
+    References inside the page (``#...``) and schemes other than http and https
+    (``mailto:``, ``javascript:``, ...) are left out.  ``pos`` counts all links.
+    """
+    found = F.regexp_extract_all("html", F.lit(
+        r"""(?is)<(?:a|area)\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))
+    rows = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(found).alias("pos", "_h"))
+    href = F.regexp_replace("_h", r"""^["']|["']$""", "")
+    for entity, plain in (("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), ("&#38;", "&")):
+        href = F.replace(href, F.lit(entity), F.lit(plain))
+    rows = rows.withColumn("href", F.trim(href)).filter((F.col("href") != "") & ~F.col("href").startswith("#"))
+    return rows.select("page_id", "pos", resolve(F.col("href"), "page_url").alias("url")).filter(
+        F.col("url").rlike("(?i)^https?://"))

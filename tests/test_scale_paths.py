@@ -36,7 +36,7 @@ def test_suffix_match_large_dictionary(spark, hosts):
     small = J.suffix_semi(hosts, wl)
     assert same(small, J.suffix_semi(hosts, wl, bound=0))
     want = [r for r in hosts.collect() if any(
-        r["host"] == d or r["host"].endswith("." + d) for d in J.C.STARTER_WHITELIST)]
+        r["host"] == d or r["host"].endswith("." + d) for d in J.C.KNOWN_DOMAINS)]
     assert small.count() == len(want)
 
 

@@ -91,7 +91,9 @@ def test_batch_bounds(spark):
     df = spark.createDataFrame([(0, []), (1, ["https://a.com"] * 100), (2, ["https://a.com"] * 101),
                                 (3, ["http://[x/", "https://www.google.com"])], "request_id long, urls array<string>")
     rows = {r["request_id"]: r for r in V.batch_verdicts(df).collect()}
-    assert set(rows) == {1, 3} and rows[1]["n_urls"] == 100
+    assert set(rows) == {0, 1, 2, 3} and rows[1]["n_urls"] == 100
+    assert rows[0]["rejected"] == "no URLs" and rows[2]["rejected"] == "more than 100 URLs" and rows[2]["results"] is None
+    assert rows[1]["rejected"] is None and rows[3]["rejected"] is None
     assert [x["verdict"] for x in rows[3]["results"]] == ["Error", "Safe"]
 
 
