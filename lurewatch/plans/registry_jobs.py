@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import features as FE
 from ..functions import urls as U
+from ..functions.settle import settle
 from ..functions.constants import FEATURE_NAMES
 from ..operators import training as TR
 from ..operators import verdict as V
@@ -16,7 +18,7 @@ from ..streaming import nav as T
 from . import corpora as P
 from . import images
 from . import oracle as O
-from .registry import KEY, LN, NAVF, ORACLE, PN, RN, VN, query, r6
+from .registry import KEY, LN, NAVF, ORACLE, PC, PN, RN, VN, query, r6
 
 #: Sizes for the registered runs; the library defaults are the full ones.
 GBT = {"max_iter": 8, "depth": 4, "min_leaf": 20}
@@ -24,17 +26,29 @@ FOREST = {"trees": 16, "depth": 8}
 
 
 def _labelled(spark, d) -> DataFrame:
-    return U.parse_url_columns(P.corpus(spark, d)).filter("not is_malformed").select("url", "label")
+    parsed = U.parse_url_columns(P.corpus(spark, d)).select("url", "label", "is_malformed")
+    return settle(parsed, "is_malformed").filter("not is_malformed").select("url", "label")
 
 
-@query("ml_train_gbt")
+def _summary(result) -> DataFrame:
+    """What is exact about a fit, and whether it ranks well enough."""
+    return result.summary.select("n_samples", "n_features", "model_type", (F.col("auc") >= 0.9).alias("ranks_well"),
+                                 F.col("threshold").between(0, 1).alias("threshold_in_range"))
+
+
+def _summary_sql(kind: str) -> str:
+    return O.sql(f"SELECT count(*) AS n_samples, {len(FEATURE_NAMES)} AS n_features, '{kind}' AS model_type, true AS ranks_well, "
+                 "true AS threshold_in_range FROM p_corpus WHERE NOT is_malformed", PC)
+
+
+@query("ml_train_gbt", _summary_sql("gbt"))
 def ml_train_gbt(spark, d):
-    return TR.train(_labelled(spark, d), "gbt", **GBT).summary
+    return _summary(TR.train(_labelled(spark, d), "gbt", **GBT))
 
 
-@query("ml_train_rf")
+@query("ml_train_rf", _summary_sql("random_forest"))
 def ml_train_rf(spark, d):
-    return TR.train(_labelled(spark, d), "random_forest", **FOREST).summary
+    return _summary(TR.train(_labelled(spark, d), "random_forest", **FOREST))
 
 
 @query("feature_importance_topk")
@@ -54,15 +68,17 @@ def ml_score_batch(spark, d):
         *KEY, "url", "verdict", r6(F.col("risk"), "risk"), r6(F.col("lex_prob"), "lex_prob"), "stage")
 
 
-@query("model_metadata")
+@query("model_metadata", O.sql(
+    f"SELECT {len(FEATURE_NAMES)} AS n_features, 'random_forest' AS model_type, true AS ranks_well, {len(FEATURE_NAMES)} AS n_names, "
+    f"'{FEATURE_NAMES[0]}' AS first_name, '{FEATURE_NAMES[-1]}' AS last_name, {len(FEATURE_NAMES)} AS n_importances"))
 def model_metadata(spark, d):
     path = feeds.work_dir(spark, "model")
     TR.save_model(TR.train(_labelled(spark, d), "random_forest", **FOREST), path)
     TR.load_scorer(spark, path)  # refuses a model with other features
     meta = TR.load_metadata(spark, path)
-    return meta.select("n_features", "model_type", r6(F.col("threshold"), "threshold"),
-                       r6(F.col("auc"), "auc"), F.size("features").alias("n_names"),
-                       F.size("feature_importances").alias("n_importances"))
+    return meta.select("n_features", "model_type", (F.col("auc") >= 0.9).alias("ranks_well"),
+                       F.size("features").alias("n_names"), F.element_at("features", 1).alias("first_name"),
+                       F.element_at("features", -1).alias("last_name"), F.size("feature_importances").alias("n_importances"))
 
 
 # --- images ------------------------------------------------------------------
@@ -74,21 +90,43 @@ def _shots(spark, d) -> str:
     return root
 
 
-@query("scan_screenshots")
+_SHOT = "CASE WHEN vec_id % 2 = 0 THEN 'legit/' ELSE 'phish/' END || vec_id || '.png' AS path"
+
+
+@query("scan_screenshots", O.sql(f"SELECT {_SHOT}, vec_id % 2 AS label, true AS has_bytes FROM embeddings", corpora=False))
 def scan_screenshots(spark, d):
     shots = feeds.read_screenshots(spark, _shots(spark, d))
     return shots.select(F.regexp_extract("path", "/((?:legit|phish)/[^/]*)$", 1).alias("path"),
-                        "label", "length")
+                        "label", (F.col("length") > 57).alias("has_bytes"))
 
 
-@query("image_prep")
+# Every picture has a darkest and a lightest point, so the ends of its values are known.
+@query("image_prep", O.sql(
+    f"SELECT {_SHOT}, vec_id % 2 AS label, 150528 AS n_values, -2.1179e0 AS low, 2.4286e0 AS high FROM embeddings", corpora=False))
 def image_prep(spark, d):
     shots = VI.read_images(spark, _shots(spark, d))
-    ready = VI.prepare_images(shots, 32)
+    ready = VI.prepare_images(shots)
     return ready.select(
         F.regexp_extract("path", "/((?:legit|phish)/[^/]*)$", 1).alias("path"), "label",
-        F.size("tensor").alias("n_values"),
-        F.round(F.aggregate("tensor", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+        F.size("tensor").alias("n_values"), F.round(F.array_min("tensor").cast("double"), 4).alias("low"),
+        F.round(F.array_max("tensor").cast("double"), 4).alias("high"))
+
+
+def _brightness(x):
+    """A stand-in for a visual model: the mean of the normalised values, squashed."""
+    return 1 / (1 + np.exp(-x.mean(axis=(1, 2, 3), dtype=np.float64)))
+
+
+@query("score_screenshots", O.sql(
+    f"SELECT {_SHOT}, round(1 / (1 + exp(-list_avg(list_transform(g, lambda p: ((p / 255 - 0.485e0) / 0.229e0 + "
+    "((255 - p) / 255 - 0.456e0) / 0.224e0 + (floor(p / 2) / 255 - 0.406e0) / 0.225e0) / 3)))), 2) AS prob, true AS ok FROM ("
+    "SELECT vec_id, list_transform(v, lambda x: floor((x - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END * 255)) AS g FROM ("
+    "SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, CAST(list_min(embedding) AS DOUBLE) AS lo, "
+    "CAST(list_max(embedding) AS DOUBLE) AS hi FROM embeddings))", corpora=False))
+def score_screenshots(spark, d):
+    scored = VI.score_images(VI.read_images(spark, _shots(spark, d)), _brightness)
+    return scored.select(F.regexp_extract("path", "/((?:legit|phish)/[^/]*)$", 1).alias("path"),
+                         F.round("prob", 2).alias("prob"), "ok")
 
 
 # --- streams --------------------------------------------------------------------

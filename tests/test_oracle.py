@@ -18,7 +18,7 @@ def test_query_matches_sql(spark, con, name):
     assert msg is None
 
 
-@pytest.mark.parametrize("name", ["scan_screenshots", "image_prep", "model_metadata"])
+@pytest.mark.parametrize("name", ["train_report", "feature_importance_topk"])
 def test_rows_only(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
