@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -11,10 +14,12 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int,
-           longest: int) -> tuple[list[str], np.ndarray, float]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int, longest: int,
+           describe: Callable[[str], np.ndarray] | None = None) -> tuple[list, np.ndarray, float]:
     """``(texts, labels, share of label 1)`` of at most ``most`` labelled rows of each label.
 
+    With ``describe`` its numbers come to the driver in place of the texts.
+
     ``learn`` says by ``doc_id`` which rows may be learned from.  The rows are those
     whose ids have the least hashes, and no text is longer than ``longest``
     characters, so what comes to the driver is bounded.  The share counts all labelled
@@ -33,7 +38,16 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most:
         F.col("text").isNotNull() & (F.length("text") <= longest))
     found = (texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_y", order.alias("_o"))
              .groupBy("doc_id").agg(F.min(F.struct("_o", "text", "_y")).alias("_r"))  # one text for each id
-             .select("_r.*").orderBy("_o", "text").collect())
+             .select("_r.*"))
+    if describe is not None:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                made = [describe(t.as_py()).tolist() for t in batch.column("text")]
+                yield pa.RecordBatch.from_arrays([batch.column("_o"), pa.array(made, pa.list_(pa.float64())), batch.column("_y")],
+                                                 ["_o", "text", "_y"])
+
+        found = found.mapInArrow(run, "_o long, text array<double>, _y int")
+    found = found.orderBy("_o", "text").collect()
     return [r["text"] for r in found], np.array([r["_y"] for r in found], float), (ones or 0) / max(rows, 1)
 
 

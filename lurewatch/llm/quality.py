@@ -82,11 +82,11 @@ class Gaussian:
 class Model:
     """Scales, two Gaussians and the calibration."""
 
-    def __init__(self, texts: list[str], y: np.ndarray, share: float):
+    def __init__(self, described: list, y: np.ndarray, share: float):
         self.usable = min((y == 1).sum(), (y == 0).sum()) >= 4
         if not self.usable:
             return
-        x = np.array([statistics(t) for t in texts])
+        x = np.array(described)
         self.low, self.high = np.quantile(x, 0.001, axis=0), np.quantile(x, 0.999, axis=0)
         learn = np.zeros(len(y), bool)
         for k in (1, 0):
@@ -109,7 +109,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MOST, longest: int = LONGEST) -> Model:
     """A model from at most ``most`` labelled documents of each label (``labels.quality``), where ``learn`` holds."""
-    return Model(*sample(docs, labels, "quality", learn, most, longest))
+    return Model(*sample(docs, labels, "quality", learn, most, longest, statistics))
 
 
 def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
