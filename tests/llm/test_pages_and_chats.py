@@ -3,7 +3,6 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lurewatch.llm import chat, dom, html_main, page_samples, queries
 from tests.check_oracle import compare, connect
