@@ -158,7 +158,11 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
 
     Rows with a NULL id stay only where a component has no other.
     """
-    found = near_duplicates(docs, **options)
+    return first_of_each(docs, near_duplicates(docs, **options))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs``, one for each ``component`` of ``found (doc_id, text_hash, component)``."""
     unnamed = F.col("doc_id").isNull()
     first = found.groupBy("component").agg(F.min(F.struct(unnamed.alias("unnamed"), "doc_id", "text_hash")).alias("_r"))
     kept = first.select(F.coalesce(F.col("_r.doc_id").cast("string"), F.lit("null")).alias("_id"),
