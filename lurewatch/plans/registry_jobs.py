@@ -20,10 +20,6 @@ from . import images
 from . import oracle as O
 from .registry import KEY, LN, NAVF, ORACLE, PC, PN, RN, VN, query, r6
 
-#: Sizes for the registered runs; the library defaults are the full ones.
-GBT = {"max_iter": 8, "depth": 4, "min_leaf": 20}
-FOREST = {"trees": 16, "depth": 8}
-
 
 def _labelled(spark, d) -> DataFrame:
     parsed = U.parse_url_columns(P.corpus(spark, d)).select("url", "label", "is_malformed")
@@ -43,27 +39,27 @@ def _summary_sql(kind: str) -> str:
 
 @query("ml_train_gbt", _summary_sql("gbt"))
 def ml_train_gbt(spark, d):
-    return _summary(TR.train(_labelled(spark, d), "gbt", **GBT))
+    return _summary(TR.train(_labelled(spark, d), "gbt"))
 
 
 @query("ml_train_rf", _summary_sql("random_forest"))
 def ml_train_rf(spark, d):
-    return _summary(TR.train(_labelled(spark, d), "random_forest", **FOREST))
+    return _summary(TR.train(_labelled(spark, d), "random_forest"))
 
 
 @query("feature_importance_topk")
 def feature_importance_topk(spark, d):
-    return TR.train(_labelled(spark, d), "random_forest", **FOREST).top_features
+    return TR.train(_labelled(spark, d), "random_forest").top_features
 
 
 @query("train_report")
 def train_report(spark, d):
-    return TR.train(_labelled(spark, d), "gbt", **GBT).report
+    return TR.train(_labelled(spark, d), "gbt").report
 
 
 @query("ml_score_batch")
 def ml_score_batch(spark, d):
-    model = TR.train(_labelled(spark, d), "random_forest", **FOREST).model
+    model = TR.train(_labelled(spark, d), "random_forest").model
     return V.hybrid_verdict(P.corpus(spark, d), scorer=ml_scorer(model)).select(
         *KEY, "url", "verdict", r6(F.col("risk"), "risk"), r6(F.col("lex_prob"), "lex_prob"), "stage")
 
@@ -73,7 +69,7 @@ def ml_score_batch(spark, d):
     f"'{FEATURE_NAMES[0]}' AS first_name, '{FEATURE_NAMES[-1]}' AS last_name, {len(FEATURE_NAMES)} AS n_importances"))
 def model_metadata(spark, d):
     path = feeds.work_dir(spark, "model")
-    TR.save_model(TR.train(_labelled(spark, d), "random_forest", **FOREST), path)
+    TR.save_model(TR.train(_labelled(spark, d), "random_forest"), path)
     TR.load_scorer(spark, path)  # refuses a model with other features
     meta = TR.load_metadata(spark, path)
     return meta.select("n_features", "model_type", (F.col("auc") >= 0.9).alias("ranks_well"),
