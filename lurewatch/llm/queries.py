@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, chat, html_main, mixing, quality, simhash, substrings, topk, toxicity
+from . import (ann, bpe, chat, html_main, mixing, quality, simhash, spelling, substrings, topk, toxicity,
+               whitening)
 from .common import table
 from .labelled import fold
 
@@ -138,3 +139,14 @@ SELECT conv_id, count(*) AS n_turns,
     '([<\[])(\\*)(\|[a-z_]+\|>|/?s>|</?SYS>>|/?INST\])', '\1\\\2\3', 'g'))) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.groups(table(spark, sf_dir, "documents"))
+
+
+@query("op13_whitened_embeddings")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(rows, whitening.fit(rows), carry=["vec_id"]).withColumn("deviation", F.col("deviation").cast("long"))
