@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (ann, bpe, chat, html_main, mixing, quality, simhash, spelling, substrings, topk, toxicity,
+from . import (ann, bpe, chat, html_main, jaccard, mixing, quality, simhash, spelling, substrings, topk, toxicity,
                whitening)
 from .common import table
 from .labelled import fold
@@ -146,6 +146,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.groups(table(spark, sf_dir, "documents"))
 
 
+@query("op12_ngram_jaccard_join")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.named(jaccard.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 @query("op13_whitened_embeddings")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
