@@ -3,7 +3,9 @@
 Block elements are nodes; inline elements melt into the text around them.  A
 run of text that no block element interrupts is a leaf.  Missing end tags close
 as browsers do: a new block closes an open paragraph, an item the item before
-it, and what is left is closed at the end of the page.
+it, and what is left is closed at the end of the page.  A quote opens a string
+only directly after ``=``.  An element that hides its contents and is never
+closed ends with the block around it, a drawing also at a block of its own.
 """
 
 from __future__ import annotations
@@ -13,14 +15,14 @@ import re
 from dataclasses import dataclass, field
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
-                    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+                    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _BLANK = re.compile(r"\s+")
 #: Elements of HTML. Fixed names.
 BLOCKS = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt
  fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol
  option optgroup p pre search section select summary table tbody td tfoot th thead tr ul""".split())
-HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video textarea "
+HIDDEN = frozenset("script style noscript template title svg iframe object canvas audio video textarea "
                    "noembed noframes xmp datalist".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,6 +52,7 @@ def read(page: str) -> list[Node]:
     pieces: list[tuple[str, bool]] = []
     links = hidden = 0
     hidden_tag = ""
+    inside: list[str] = []  # elements open below the one that hides
 
     def flush() -> None:
         if pieces:
@@ -88,13 +91,17 @@ def read(page: str) -> list[Node]:
         if hidden:  # until the element that hides its contents ends
             if tag == hidden_tag:
                 hidden += -1 if found[1] else 1
-            elif hidden_tag == "head" and not found[1] and tag == "body":
+            elif found[1] and tag in inside:
+                del inside[len(inside) - 1 - inside[::-1].index(tag):]
+            elif found[1] and tag in BLOCKS and last({tag}):
+                hidden = 0  # it was never closed
+            elif not found[1] and hidden_tag == "svg" and tag in BLOCKS and "foreignobject" not in inside:
                 hidden = 0
-            if hidden:
-                if tag in RAW and not found[1]:
-                    at = _after_raw(page, at, tag)
-                continue
-            if found[1]:
+            elif not found[1] and tag in RAW:
+                at = _after_raw(page, at, tag)
+            elif not found[1] and tag not in VOID:
+                inside.append(tag)
+            if hidden or tag == hidden_tag:
                 continue
         if found[1]:
             if tag == "a":
@@ -108,7 +115,7 @@ def read(page: str) -> list[Node]:
             if tag in RAW:
                 at = _after_raw(page, at, tag)
             elif not found[3].rstrip().endswith("/"):
-                hidden, hidden_tag = 1, tag
+                hidden, hidden_tag, inside = 1, tag, []
         elif tag in ("br", "wbr", "img", "input"):
             pieces.append((" " if tag != "wbr" else "", False))
         elif tag == "a":
@@ -136,6 +143,11 @@ def read(page: str) -> list[Node]:
 
 
 def _after_raw(page: str, at: int, tag: str) -> int:
-    """The place after the end tag of an element whose contents are no markup."""
+    """The place after the end tag of an element whose contents are no markup.
+
+    Without one, scripts and styles reach to the end of the page, others to the next tag.
+    """
     found = re.compile(rf"</{tag}[^>]*(?:>|\Z)", re.I).search(page, at)
+    if not found and tag not in ("script", "style"):
+        found = re.compile(r"(?=<[a-zA-Z/])").search(page, at)
     return found.end() if found else len(page)

@@ -49,6 +49,40 @@ PAGES = [
 ]
 
 
+def odd_pages():
+    """A page of the tables written in ways that browsers forgive; the text must stay what it is."""
+    page = sorted(page_samples.pages(40, seed=5), key=len)[-1]
+    head, body = re.split(r"<body[^>]*>", page, maxsplit=1)
+    at = body.index("<p")
+    inserted = ["<img alt=don't>", '<a href="x"y"></a>', "<img alt='a>b' title=\"c>d\" data-x = 'e'>", "<svg><path d=1>",
+                "<svg><title>t</title><path d='M1'/></svg>", "<noscript><div>on</div></noscript>"]
+    made = {"plain": page} | {x: f"{head}<body>{body[:at]}{x}{body[at:]}" for x in inserted}
+    made["no body tag"] = head + body
+    made["no head end"] = re.sub(r"</head>", "", head) + body
+    for x in ("<svg><g>", "<noscript><p>on", "<object data=x><b>on", "<template>", "<iframe src=x>", "<textarea>"):
+        made["unclosed " + x] = f"{head}<body><div>{x}</div>{body}"
+    return made
+
+
+@pytest.mark.parametrize("name", list(odd_pages()))
+def test_odd_markup_loses_nothing(model, name):
+    pages = odd_pages()
+    want, got = model.texts([pages["plain"], pages[name]])
+    assert len(want) > 200 and got == want
+
+
+def test_formulas_and_text_in_the_head_stay():
+    def leaves(page):
+        return [n.text for n in dom.read(page) if not n.tag]
+
+    assert leaves("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == ["so x=2 holds"]
+    assert leaves("<html><head><title>t</title><meta name=a>Words<p>more</p>") == ["Words", "more"]
+    assert leaves("<p>a<svg><foreignObject><div>b</div></foreignObject></svg>c</p>") == ["ac"]
+    assert leaves("<div><object><div>x</div></object>y</div>z") == ["y", "z"]
+    assert leaves("<p>a</p><title>never closed<p>b</p>") == ["a", "b"]
+    assert leaves('<p title="a">b</p><p title="c>d</p><p>e</p>') == ["b", "d", "e"]
+
+
 def test_extract(spark, model):
     df = spark.createDataFrame([(i, u, h, 1) for i, u, h, _ in PAGES], "page_id long, url string, html string, _row int")
     found = html_main.extract(df, model)
