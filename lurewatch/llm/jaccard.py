@@ -21,9 +21,11 @@ in one component are done; the others go on with four times as many pivots, so a
 of n near copies costs about n comparisons, and what is left after log(n) rounds has
 been compared entirely.  No connection is lost, and there is no cap.
 
-Counting n-grams: documents are dealt to blocks of a few MB.  A block sends the hash of
-each of its n-grams once; buckets of hashes add up, and send back to each block the
-hashes that several sets hold, with their class.  Texts are shuffled once.
+Counting n-grams: different texts are dealt to blocks of a few MB.  A block sends the hash
+of each of its n-grams once; buckets of hashes add up, and send back to each block the
+hashes that several sets hold, with their class.  Texts are shuffled once.  64-bit hashes
+stand for texts, sets and n-grams: of 10^10 different texts about three pairs would be
+taken for equal.
 """
 
 from __future__ import annotations
@@ -115,28 +117,32 @@ def _classes(counts: np.ndarray) -> np.ndarray:
 
 
 def _dealt(docs: DataFrame, blocks: int) -> DataFrame:
-    """``doc_id, text_hash, text, _block``; of rows equal in both a task passes one on, as far as it remembers."""
+    """``text_hash, text, _block``: each text once.
+
+    A task passes equal texts on once, as far as it remembers, and what is left of a
+    text that many tasks hold is folded, sorted, before a block is read.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
             new = []
-            for row in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist()):
+            for row in batch.column("text_hash").to_pylist():
                 new.append(row not in seen)
                 seen.add(row)
                 if len(seen) > HELD:
                     seen = {row}
             yield batch.filter(pa.array(new, pa.bool_()))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text")
-    return (rows.mapInArrow(run, "doc_id long, text_hash long, text string")
-            .withColumn("_block", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(blocks)))
-            .repartition(shuffle_width(docs.sparkSession), "_block"))
+    once = docs.select(text_hash().alias("text_hash"), "text").mapInArrow(run, "text_hash long, text string")
+    dealt = once.withColumn("_block", F.pmod(F.xxhash64("text_hash"), F.lit(blocks)))
+    return (dealt.repartition(shuffle_width(docs.sparkSession), "_block")
+            .groupBy("_block", "text_hash").agg(F.first("text").alias("text")))
 
 
 def prefixes(docs: DataFrame, words: int, share: tuple[int, int], block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
     """Three kinds of rows in one table, written once.
 
-    0: ``doc_id, text_hash, node, size`` of a document; 1: ``gram, node, size, pos, before, index, ranges`` of an
+    0: ``text_hash, node, size`` of a text; 1: ``gram, node, size, pos, before, index, ranges`` of an
     n-gram in the prefix of a set that another set holds too; 2: ``node, grams``, the set of such a node.
     """
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -179,8 +185,8 @@ def prefixes(docs: DataFrame, words: int, share: tuple[int, int], block: int = B
         keys, classes = _unpacked(known.column("keys").to_pylist()), _joined(known.column("classes"))
         by = np.argsort(keys)
         keys, classes = keys[by], classes[by]
-        parts: list[dict] = [{"kind": np.zeros(len(rows), np.int32), "doc_id": rows.column("doc_id"),
-                              "text_hash": rows.column("text_hash"), "node": sets.node, "size": sets.size}]
+        parts: list[dict] = [{"kind": np.zeros(len(rows), np.int32), "text_hash": rows.column("text_hash"),
+                              "node": sets.node, "size": sets.size}]
         whole: dict[str, list] = {"node": [], "grams": []}
         for node, own in sets.of.items():
             at = member(own >> _U(16), keys)
@@ -209,7 +215,7 @@ def prefixes(docs: DataFrame, words: int, share: tuple[int, int], block: int = B
     return stored(made, "jaccard")
 
 
-_COLUMNS = {"kind": ("int", pa.int32()), "doc_id": ("long", pa.int64()), "text_hash": ("long", pa.int64()),
+_COLUMNS = {"kind": ("int", pa.int32()), "text_hash": ("long", pa.int64()),
             "gram": ("long", pa.int64()), "node": ("long", pa.int64()), "size": ("long", pa.int64()),
             "pos": ("long", pa.int64()), "before": ("long", pa.int64()), "index": ("boolean", pa.bool_()),
             "ranges": ("array<int>", pa.list_(pa.int32())), "grams": ("binary", pa.binary())}
@@ -247,11 +253,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Data
 def links(made: DataFrame, share: tuple[int, int], pivots: int = PIVOTS, more: int = MORE) -> DataFrame | None:
     """``node, component`` of the connected nodes of ``prefixes``; None if nothing is linked."""
     a, b = share
-    entries = made.filter("kind = 1").select("gram", "node", "size", "pos", "before", "index", "ranges").dropDuplicates(["gram", "node"])
+    entries = made.filter("kind = 1").select("gram", "node", "size", "pos", "before", "index", "ranges")
     # As the larger of a pair, a set reaches down to this size, and up to that of its partner's.
     entries = entries.withColumn("low", F.expr(f"({a} * size + {b - 1}) div {b}")).withColumn(
         "high", F.expr(f"least(size, ((size - pos) * {a + b}) div {a} - size)"))
-    alive = stored(entries.withColumn("component", F.col("node")), "jaccard-lists")
+    alive = entries.withColumn("component", F.col("node"))
     sets, seen, found, joined, count = None, None, None, None, pivots
     while True:
         lists = (alive.groupBy("gram").agg(F.min(F.when(F.col("index"), F.col("size"))).alias("least"),
@@ -314,15 +320,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: tuple[int, int]
     """
     made = prefixes(docs, words, share, block, bucket)
     joined = links(made, share, pivots)
-    known = made.filter("kind = 0").select("doc_id", "text_hash", "node", F.col("size").alias("n_shingles")).distinct()
+    known = made.filter("kind = 0").select(F.col("text_hash").alias("_hash"), "node", F.col("size").alias("n_shingles"))
     if joined is None:
         known = known.withColumn("component", F.lit(None).cast("long"))
     else:
         known = known.join(joined, "node", "left")
     known = known.withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"))
-    known = known.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    return rows.join(known, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select(
+    # A text that very many rows hold is spread over the tasks by AQE's skew join.
+    return rows.join(known, F.col("text_hash") == F.col("_hash")).select(
         "doc_id", "text_hash", "node", "n_shingles", "component")
 
 
