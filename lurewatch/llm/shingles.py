@@ -1,155 +1,41 @@
-"""Near duplicates by the Jaccard similarity of word shingles.
+"""Near duplicates for a corpus: close SimHash fingerprints or alike sets of word shingles.
 
-Fingerprints only propose pairs.  A text's set of shingle hashes gives ``BANDS``
-band hashes, each over the minima of ``ROWS`` permutations, and texts that share a
-band hash are candidates.  A pair of similarity s shares none with probability
-``(1 - s ** ROWS) ** BANDS``: 3e-6 at 0.8 and 8e-9 at 0.85.  Every link is then
-decided by the similarity of the two texts themselves.
-
-Equal sets are one node.  In each band the members are first compared with its
-smallest node; where a band still has members of several components, all pairs
-across components are compared.  So a group of n near copies costs n comparisons a
-band and not n squared, and no connection among the candidates is lost.
+Two texts are linked if the fingerprints of their shingles differ in two bits or fewer
+(``simhash``), or if their sets of shingles have a Jaccard similarity of 0.8 or more
+(``jaccard``).  Fingerprints alone let most edited copies pass: at a similarity of 0.8
+to 0.9 they differ in 3 to 8 bits.  Both searches give a component to each text; a
+small graph between the two kinds of components joins them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from . import jaccard, simhash
 from .common import stored
 from .components import components
-from .simhash import first_of_each, text_hash
-
-WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 32, 5
-SEED = 42
-#: Shingles whose minima are taken at a time; bounds the memory for a very long text.
-BLOCK = 512
-_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)[:, None] | np.uint32(1)
-_MASKS = np.random.default_rng(SEED + 1).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)[:, None]
-
-
-def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The sorted distinct hashes of the shingles; of a text of ``words`` words or fewer the hash of all of it.
-
-    Words are those of ``simhash``: A-Z in lower case, cut at space and 0x09-0x0D.
-    """
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    joined, digest = b" ".join(parts), xxhash.xxh64_intdigest
-    ends = np.cumsum([len(p) + 1 for p in parts])
-    n = min(words, len(parts))
-    starts = np.concatenate(([0], ends[:-n])).tolist()
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, (ends[n - 1:] - 1).tolist())),
-                                 np.uint64, len(starts)))
-
-
-def bands(hashes: np.ndarray) -> list[int]:
-    """The band hashes of a set as signed numbers; none for the empty set."""
-    if not len(hashes):
-        return []
-    short = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(short), BLOCK):
-        np.minimum(least, ((short[i:i + BLOCK] ^ _MASKS) * _FACTORS).min(axis=1), out=least)
-    made = [xxhash.xxh64_intdigest(least[k * ROWS:(k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
-    return np.array(made, np.uint64).view(np.int64).tolist()
-
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sorted sets; two empty sets are equal."""
-    if not len(a) and not len(b):
-        return 1.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+WORDS, SHARE, DISTANCE = 5, (4, 5), 2
 
 
-def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id, text_hash, node, size, bands`` for every row; nothing is shuffled.
-
-    ``node`` stands for the set of shingles and ``size`` is their number.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, sizes, marks = [], [], []
-            for text in batch.column("text"):
-                hashes = shingle_set(text.as_py(), words)
-                nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
-                sizes.append(len(hashes))
-                marks.append(bands(hashes))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(nodes, np.uint64).view(np.int64)),
-                 pa.array(sizes, pa.int64()), pa.array(marks, pa.list_(pa.int64()))],
-                ["doc_id", "text_hash", "node", "size", "bands"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_hash")).mapInArrow(
-        run, "doc_id long, text_hash long, node long, size long, bands array<long>")
-
-
-def _alike(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """The ``a, b`` of ``pairs`` whose texts have similarity ``least`` or more."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, hashes = None, None
-        for batch in batches:
-            keep = []
-            for b, x, y in zip(batch.column("b").to_pylist(), batch.column("ta"), batch.column("tb")):
-                if b != last:
-                    last, hashes = b, shingle_set(y.as_py(), words)
-                # The margin is for rounding alone: 4 of 5 is 0.8.
-                keep.append(similarity(shingle_set(x.as_py(), words), hashes) >= least - 1e-12)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-            .select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
-
-
-def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, distance: int = DISTANCE) -> DataFrame:
     """``doc_id, text_hash, component`` for every row of ``docs``.
 
-    Rows of one component are connected over pairs of similarity ``least`` or more.
-    Texts without words are one component.
+    Words are cut at space and 0x09-0x0D, A-Z in lower case.  Texts without words are one
+    component (their fingerprint is zero); texts of ``words`` words or fewer are one
+    shingle.  Repeated rows, NULL ids and empty tables are as in ``simhash``.
     """
-    marked = stored(signatures(docs, words), "shingles")
-    nodes = marked.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.max("size").alias("size"),
-                                       F.max("bands").alias("bands"))
-    entered = nodes.select("node", "text_hash", "size", F.explode("bands").alias("band"))
-    sizes = entered.groupBy("band").agg(F.min(F.struct("node", "size")).alias("low"), F.count(F.lit(1)).alias("n"))
-    shared = stored(entered.join(sizes.filter("n > 1"), "band"), "shingles-shared")
-    texts = shared.select("node", "text_hash").distinct()
-    # One row of each text that meets another; copies fold before the shuffle.
-    found = (docs.select(text_hash().alias("text_hash"), "text").join(texts.select("text_hash").distinct(), "text_hash", "left_semi")
-             .groupBy("text_hash").agg(F.first("text").alias("text")))
-    texts = stored(texts.join(found, "text_hash").select("node", "text"), "shingles-texts")
-
-    def fits(x: str, y: str):
-        return F.least(x, y) >= F.greatest(x, y) * F.lit(least) - F.lit(1e-6)
-
-    star = stored(shared.filter(F.col("node") > F.col("low.node")).filter(fits("size", "low.size"))
-                  .select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct(), "shingles-star")
-    links = stored(_alike(star, texts, words, least), "shingles-links")
-    joined = stored(components(links), "shingles-components")
-    members = stored(shared.select("band", "node", "size").join(joined, "node", "left")
-                     .withColumn("component", F.coalesce("component", "node")), "shingles-members")
-    groups = members.select("band", "component").distinct()
-    across = (groups.withColumnRenamed("component", "ca").join(groups.withColumnRenamed("component", "cb"), "band")
-              .filter("ca < cb"))
-    left, right = (members.toDF("band", f"node_{x}", f"size_{x}", f"c{x}") for x in "ab")
-    across = across.join(left, ["band", "ca"]).join(right, ["band", "cb"]).filter(fits("size_a", "size_b"))
-    rest = across.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    rest = stored(rest.join(star, ["a", "b"], "left_anti"), "shingles-rest")
-    more = stored(_alike(rest, texts, words, least), "shingles-links")
-    joined = stored(components(links.union(more)), "shingles-components")
-    return (marked.join(joined, "node", "left")
-            .select("doc_id", "text_hash", F.coalesce("component", "node").alias("component")))
+    close = stored(simhash.near_duplicates(docs, words, distance), "shingles-close")
+    alike = jaccard.near_duplicates(docs, words, share)
+    by_text = close.groupBy("text_hash").agg(F.min("component").alias("_close"))
+    both = (alike.groupBy("text_hash").agg(F.min("component").alias("_alike")).filter(F.col("_alike").isNotNull())
+            .join(by_text, "text_hash").select(F.xxhash64(F.lit("close"), "_close").alias("a"),
+                                               F.xxhash64(F.lit("alike"), "_alike").alias("b")).distinct())
+    joined = components(stored(both, "shingles-links"))
+    rows = close.select("doc_id", "text_hash", F.xxhash64(F.lit("close"), "component").alias("node"))
+    return rows.join(joined, "node", "left").select("doc_id", "text_hash", F.coalesce("component", "node").alias("component"))
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, one for each component: its smallest id, of repeated rows one."""
-    return first_of_each(docs, near_duplicates(docs, **options))
+    return simhash.first_of_each(docs, near_duplicates(docs, **options))
