@@ -24,7 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest id.
 
-    Near duplicates share 0.8 or more of their five-word shingles.
+    Near duplicates have SimHash fingerprints of five-word shingles within two bits, or sets of these
+    shingles with a Jaccard similarity of 0.8 or more.
     """
     return shingles.representatives(docs)
 
