@@ -51,8 +51,8 @@ BLOCK, BUCKET = 4_000_000, 8_000_000
 RANGES = 16
 #: Pivots of a list in the first round, and how many times more in each that follows.
 PIVOTS, MORE = 1, 4
-#: Equal rows that a task remembers at a time.
-HELD = 1 << 16
+#: Rows with one text that a block takes in any case, and the share of all rows (one in ...) from which on it is dealt out.
+HELD, HOT = 1 << 10, 10_000
 _U = np.uint64
 
 
@@ -117,24 +117,18 @@ def _classes(counts: np.ndarray) -> np.ndarray:
 
 
 def _dealt(docs: DataFrame, blocks: int) -> DataFrame:
-    """``text_hash, text, _block``: each text once.
+    """``text_hash, text, _block``: each text once in a block.
 
-    A task passes equal texts on once, as far as it remembers, and what is left of a
-    text that many tasks hold is folded, sorted, before a block is read.
+    Equal texts meet in a block, where they are folded as sorted rows, before a block is
+    read.  A text with more than one in ``HOT`` of all rows (there are fewer than ``HOT`` of them) is
+    dealt by task as well, so that no block gets many of its rows.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
-        for batch in batches:
-            new = []
-            for row in batch.column("text_hash").to_pylist():
-                new.append(row not in seen)
-                seen.add(row)
-                if len(seen) > HELD:
-                    seen = {row}
-            yield batch.filter(pa.array(new, pa.bool_()))
-
-    once = docs.select(text_hash().alias("text_hash"), "text").mapInArrow(run, "text_hash long, text string")
-    dealt = once.withColumn("_block", F.pmod(F.xxhash64("text_hash"), F.lit(blocks)))
+    rows = docs.select(text_hash().alias("text_hash"), "text")
+    counts = stored(rows.groupBy("text_hash").agg(F.count(F.lit(1)).alias("_n")), "jaccard-texts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = counts.filter(F.col("_n") > max(HELD, total // HOT)).select("text_hash", F.lit(True).alias("_hot"))
+    dealt = rows.join(F.broadcast(hot), "text_hash", "left").withColumn("_block", F.pmod(F.xxhash64(
+        "text_hash", F.when(F.col("_hot"), F.spark_partition_id())), F.lit(blocks)))
     return (dealt.repartition(shuffle_width(docs.sparkSession), "_block")
             .groupBy("_block", "text_hash").agg(F.first("text").alias("text")))
 
@@ -320,7 +314,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: tuple[int, int]
     """
     made = prefixes(docs, words, share, block, bucket)
     joined = links(made, share, pivots)
-    known = made.filter("kind = 0").select(F.col("text_hash").alias("_hash"), "node", F.col("size").alias("n_shingles"))
+    known = made.filter("kind = 0").select(F.col("text_hash").alias("_hash"), "node", F.col("size").alias("n_shingles")).distinct()
     if joined is None:
         known = known.withColumn("component", F.lit(None).cast("long"))
     else:
