@@ -31,8 +31,6 @@ taken for equal.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -199,7 +197,7 @@ def prefixes(docs: DataFrame, words: int, share: tuple[int, int], block: int = B
                           "before": np.full(len(places), unshared), "index": places < index_prefix(n, share),
                           "ranges": pa.array(list(spread.astype(np.int32)), pa.list_(pa.int32()))})
             whole["node"].append(node)
-            whole["grams"].append(own.tobytes())
+            whole["grams"].append(own.view(np.int64))
         parts.append({"kind": np.full(len(whole["node"]), 2, np.int32), **whole})
         return pa.concat_tables([_filled(p) for p in parts])
 
@@ -212,7 +210,7 @@ def prefixes(docs: DataFrame, words: int, share: tuple[int, int], block: int = B
 _COLUMNS = {"kind": ("int", pa.int32()), "text_hash": ("long", pa.int64()),
             "gram": ("long", pa.int64()), "node": ("long", pa.int64()), "size": ("long", pa.int64()),
             "pos": ("long", pa.int64()), "before": ("long", pa.int64()), "index": ("boolean", pa.bool_()),
-            "ranges": ("array<int>", pa.list_(pa.int32())), "grams": ("binary", pa.binary())}
+            "ranges": ("array<int>", pa.list_(pa.int32())), "grams": ("array<long>", pa.list_(pa.int64()))}
 
 
 def _filled(columns: dict) -> pa.Table:
@@ -230,18 +228,11 @@ def _needed(x: str, y: str, share: tuple[int, int]) -> Column:
 
 def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """The rows of ``pairs (a, b)`` whose sets are alike."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U)
-                both = int((member(x, y) >= 0).sum())
-                keep.append(share[1] * both >= share[0] * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
+    both = F.size(F.array_intersect("x", "y")).cast("long")
     return (pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-            .select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+            .withColumn("_both", both)
+            .filter(share[1] * F.col("_both") >= share[0] * (F.size("x") + F.size("y") - F.col("_both"))).select("a", "b"))
 
 
 def links(made: DataFrame, share: tuple[int, int], pivots: int = PIVOTS, more: int = MORE) -> DataFrame | None:
