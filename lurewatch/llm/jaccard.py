@@ -17,7 +17,7 @@ and each pair is then verified once on the sets themselves.
 Long lists are not expanded into pairs.  Each round compares a few central members
 (pivots, those with the fewest unshared n-grams before the entry) with the members of
 other components, and the links found join components.  Lists whose possible pairs lie
-in one component are done; the others go on with four times as many pivots, so a group
+in one component are done; the others go on with 16 times as many pivots, so a group
 of n near copies costs about n comparisons, and what is left after log(n) rounds has
 been compared entirely.  No connection is lost, and there is no cap.
 
@@ -31,6 +31,7 @@ taken for equal.
 from __future__ import annotations
 
 import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -48,7 +49,7 @@ BLOCK, BUCKET = 4_000_000, 8_000_000
 #: Ranges of hashes of the suffix filter.
 RANGES = 16
 #: Pivots of a list in the first round, and how many times more in each that follows.
-PIVOTS, MORE = 1, 4
+PIVOTS, MORE = 1, 16
 #: Rows with one text that a block takes in any case, and the share of all rows (one in ...) from which on it is dealt out.
 HELD, HOT = 1 << 10, 10_000
 _U = np.uint64
@@ -243,7 +244,7 @@ def links(made: DataFrame, share: tuple[int, int], pivots: int = PIVOTS, more: i
     entries = entries.withColumn("low", F.expr(f"({a} * size + {b - 1}) div {b}")).withColumn(
         "high", F.expr(f"least(size, ((size - pos) * {a + b}) div {a} - size)"))
     alive = entries.withColumn("component", F.col("node"))
-    sets, seen, found, joined, count = None, None, None, None, pivots
+    sets, seen, joined, count = None, None, None, pivots
     while True:
         lists = (alive.groupBy("gram").agg(F.min(F.when(F.col("index"), F.col("size"))).alias("least"),
                                            F.max(F.when(F.col("index"), F.col("size"))).alias("most"),
@@ -279,16 +280,24 @@ def links(made: DataFrame, share: tuple[int, int], pivots: int = PIVOTS, more: i
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = stored(pairs, "jaccard-pairs")
         seen = pairs if seen is None else seen.union(pairs)
-        new = stored(_verified(pairs, sets, share), "jaccard-links")
-        found = new if found is None else found.union(new)
+        new = _verified(pairs, sets, share)
+        own = alive.select("node", "component").distinct()
+        # Links between components as they are: only what changes goes through the search for components.
+        merged = stored(new.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select(
+            F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "jaccard-links")
         used = chosen.select("gram", F.col("p_node").alias("node"), F.lit(True).alias("_used"))
         alive = (alive.join(used, ["gram", "node"], "left")
                  .withColumn("index", F.col("index") & F.col("_used").isNull()).drop("_used"))
-        if not new.isEmpty():
-            joined = stored(components(found), "jaccard-components")
-            alive = (alive.drop("component").join(joined, "node", "left")
-                     .withColumn("component", F.coalesce("component", "node")))
-        alive = stored(alive, "jaccard-round")
+        if not merged.isEmpty():
+            changed = stored(components(merged).toDF("_from", "_to"), "jaccard-changed")
+            alive = (alive.join(changed, F.col("component") == F.col("_from"), "left")
+                     .withColumn("component", F.coalesce("_to", "component")).drop("_from", "_to"))
+            fresh = changed.toDF("node", "component")
+            if joined is not None:
+                fresh = fresh.join(joined.select("node"), "node", "left_anti")
+                fresh = joined.join(changed, F.col("component") == F.col("_from"), "left").select(
+                    "node", F.coalesce("_to", "component").alias("component")).union(fresh)
+            joined = stored(fresh, "jaccard-components")
         count *= more
 
 
