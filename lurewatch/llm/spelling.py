@@ -2,9 +2,9 @@
 
 Every letter is hashed to one of a few symbols.  Words one edit apart have reduced
 words at most one edit apart, so the one-edit neighbourhood of each distinct reduced
-word (all deletions, replacements and insertions of a symbol, and itself) joined with
-the reduced vocabulary finds every pair; the pairs of words behind it are verified on
-their letters.  The number of symbols follows the size of the vocabulary, so that the
+word joined with the reduced vocabulary finds every pair; the pairs of words behind it
+are verified on their letters.  Each pair of neighbouring reduced words is generated from
+one side alone: an insertion is a deletion of the longer word.  The number of symbols follows the size of the vocabulary, so that the
 reduced words of few letters do not become crowded: neighbourhoods grow with the
 logarithm of the vocabulary, candidates in proportion to it.
 """
@@ -69,9 +69,9 @@ def counted_runs(docs: DataFrame, every: int = 97, shortest: int = 5) -> DataFra
 
 
 def alphabet(words: int) -> int:
-    """Symbols of the reduced alphabet: five of them tell about as many words apart as there are."""
+    """Symbols of the reduced alphabet: six of them tell about a quarter as many words apart as there are."""
     size = 4
-    while size < 64 and size ** 5 < words:
+    while size < 64 and 4 * size ** 6 < words:
         size *= 2
     return size
 
@@ -90,24 +90,28 @@ def key(reduced: np.ndarray) -> np.ndarray:
 
 
 def neighbourhood(reduced: np.ndarray, size: int) -> np.ndarray:
-    """The distinct keys of a reduced word and of all words one edit away."""
-    n, all_symbols = len(reduced), np.arange(size, dtype=np.uint64)
+    """The distinct keys of a reduced word and of its one-edit neighbours, each pair of neighbours from one side.
+
+    A longer word makes all its deletions, which are the insertions of the shorter one,
+    and a replacement is made from the smaller symbol to the larger.
+    """
+    n = len(reduced)
     at = np.arange(n)
     shorter = np.array([np.delete(reduced, i) for i in at], np.uint64).reshape(n, max(0, n - 1))
-    other = np.repeat(reduced[None, :], n * size, axis=0)
-    other[np.arange(n * size), np.repeat(at, size)] = np.tile(all_symbols, n)
-    longer = np.array([np.insert(reduced, i, 0) for i in range(n + 1)], np.uint64).reshape(n + 1, n + 1)
-    longer = np.repeat(longer, size, axis=0)
-    longer[np.arange((n + 1) * size), np.repeat(np.arange(n + 1), size)] = np.tile(all_symbols, n + 1)
-    return np.unique(np.concatenate([key(shorter), key(other), key(longer), key(reduced[None, :])]))
+    place, symbol = np.nonzero(np.arange(size, dtype=np.uint64)[None, :] > reduced[:, None])
+    other = np.repeat(reduced[None, :], len(place), axis=0)
+    other[np.arange(len(place)), place] = symbol
+    return np.unique(np.concatenate([key(shorter), key(other), key(reduced[None, :])]))
 
 
 def near_pairs(words: DataFrame, size: int) -> DataFrame:
     """``a, b`` (a < b): all pairs of the distinct ``word`` values that are exactly one edit apart."""
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [symbols(w, size).astype(np.uint8).tobytes() for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(made, pa.binary())], ["word", "reduced"])
+            made = [symbols(w, size) for w in batch.column("word").to_pylist()]
+            keys = np.array([key(r[None, :])[0] for r in made], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(keys), pa.array(
+                [r.astype(np.uint8).tobytes() for r in made], pa.binary())], ["word", "key", "reduced"])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,25 +120,18 @@ def near_pairs(words: DataFrame, size: int) -> DataFrame:
                 made = [neighbourhood(np.frombuffer(r, np.uint8).astype(np.uint64), size)
                         for r in rows.column("reduced").to_pylist()]
                 yield pa.RecordBatch.from_arrays([
-                    rows.column("reduced").take(pa.array(np.repeat(np.arange(len(rows)), [len(m) for m in made]))),
-                    pa.array(np.concatenate(made).view(np.int64))], ["reduced", "key"])
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [key(np.frombuffer(r, np.uint8).astype(np.uint64)[None, :])[0] for r in batch.column("reduced").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("reduced"), pa.array(np.array(keys, np.uint64).view(np.int64))],
-                                             ["other", "key"])
-
-    coded = stored(words.select("word").mapInArrow(reduce, "word string, reduced binary"), "spelling-reduced")
-    vocabulary = stored(coded.select("reduced").distinct(), "spelling-codes")
-    met = (vocabulary.mapInArrow(expand, "reduced binary, key long")
-           .join(vocabulary.mapInArrow(own, "other binary, key long"), "key")
-           .filter(F.col("reduced") <= F.col("other")).select("reduced", "other").distinct())
-    pairs = (met.join(coded.select("reduced", F.col("word").alias("x")), "reduced")
-             .join(coded.select(F.col("reduced").alias("other"), F.col("word").alias("y")), "other")
-             .filter((F.col("reduced") != F.col("other")) | (F.col("x") < F.col("y"))))
+                    rows.column("key").take(pa.array(np.repeat(np.arange(len(rows)), [len(m) for m in made]))),
+                    pa.array(np.concatenate(made).view(np.int64))], ["key", "other"])
+
+    coded = stored(words.select("word").mapInArrow(reduce, "word string, key long, reduced binary"), "spelling-reduced")
+    vocabulary = coded.groupBy("key").agg(F.first("reduced").alias("reduced"))
+    met = vocabulary.mapInArrow(expand, "key long, other long").join(
+        coded.select(F.col("key").alias("other")).distinct(), "other")
+    pairs = (met.join(coded.select("key", F.col("word").alias("x")), "key")
+             .join(coded.select(F.col("key").alias("other"), F.col("word").alias("y")), "other")
+             .filter((F.col("key") != F.col("other")) | (F.col("x") < F.col("y"))))
     pairs = pairs.filter((F.abs(F.length("x") - F.length("y")) <= 1) & (F.levenshtein("x", "y", 1) == 1))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def roots(forms: DataFrame) -> DataFrame:
