@@ -132,6 +132,44 @@ def split_stratified(df: DataFrame, seed: int = 42, train_permille: int = 800,
     return df.withColumn("is_train", S.md5_bucket(key, 1000) < train_permille)
 
 
+def split_exact(df: DataFrame, seed: int = 42, holdout_permille: int = 200, url: str = "url") -> DataFrame:
+    """Add ``is_train``; of each label exactly the rounded share of its distinct (url, label) rows is held out.
+
+    The rows with the smallest md5 keys are held out.  The k-th smallest key of each label
+    is found by refining a histogram of key prefixes, three hex digits at a time: every
+    step counts only what starts like the key sought, and at most 4096 counts a label
+    reach the driver.  Labels are few, as for class weights.  Repeated rows go the same way; a
+    NULL label is a label of its own; rows with a NULL url are keyed by the empty text.
+    """
+    key = F.md5(F.concat_ws("|", F.coalesce(F.col(url), F.lit("")), F.coalesce(F.col("label").cast("string"), F.lit("")), F.lit(str(seed))))
+    keys = df.select(F.col("label").cast("string").alias("label"), key.alias("key")).distinct()
+    need = {r["label"]: (r["n"] * holdout_permille + 500) // 1000
+            for r in keys.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    last, open_ = {label: "" for label, n in need.items() if not n}, {label: "" for label, n in need.items() if n}
+
+    def of(label, column="label"):
+        return F.col(column).eqNullSafe(F.lit(label).cast("string"))
+
+    while open_:
+        inside = reduce(lambda a, b: a | b, [of(label) & F.col("key").startswith(at) for label, at in open_.items()])
+        width = 3 + len(next(iter(open_.values())))
+        counts = (keys.filter(inside).groupBy("label", F.substring("key", 1, width).alias("at"))
+                  .agg(F.count(F.lit(1)).alias("n")).orderBy("label", "at").collect())
+        for label in list(open_):
+            for row in (r for r in counts if r["label"] == label):
+                if row["n"] >= need[label]:
+                    open_[label] = row["at"]
+                    if row["n"] == need[label] or width >= 32:  # the key's whole prefix is held out
+                        last[label] = open_.pop(label) + "g"
+                    break
+                need[label] -= row["n"]
+    out = F.lit(False)
+    for label, end in last.items():
+        out = out | (of(label, "_label") & (F.col("_key") < end))
+    return (df.withColumns({"_key": key, "_label": F.col("label").cast("string")})
+            .withColumn("is_train", ~out).drop("_key", "_label"))
+
+
 def class_weights(df: DataFrame) -> DataFrame:
     """``n / (k * n_c)`` per label (k rows)."""
     counts = df.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))

@@ -8,6 +8,8 @@ one popular host cannot fill a task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as C
@@ -137,6 +139,8 @@ def with_reputation(df: DataFrame, whitelist, bound: int = LITERAL_ROWS):
     rows = table.limit(bound + 1).collect()
     if len(rows) <= bound:
         return df, tuple(sorted(r["domain"] for r in rows)) or ("",)
+    if df.isStreaming:
+        return _listed_on_stream(df, table, bound), U.Listed()
     hosts = df.select("host", "reg_domain").filter(F.col("host").isNotNull()).distinct()
     found = suffix_match(hosts, table, bound=bound)
     for name, key in (("_wl_host", "host"), ("_wl_reg", "reg_domain")):
@@ -149,6 +153,25 @@ def with_reputation(df: DataFrame, whitelist, bound: int = LITERAL_ROWS):
     return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in U.Listed.COLUMNS}), U.Listed()
 
 
+def _listed_on_stream(df: DataFrame, table: DataFrame, bound: int) -> DataFrame:
+    """The three answers as stream-static joins: rows are neither folded nor aggregated, so no state is kept.
+
+    A domain with k labels equals the last k labels of a host or nothing: one join for each
+    k that the table has (hosts have 127 labels at most, tables a handful of counts).
+    """
+    labels = F.size(F.split("domain", r"\."))
+    counts = [r["k"] for r in table.select(labels.alias("k")).distinct().orderBy("k").collect()]
+    keys = [(F.col("host"), None), (F.col("reg_domain"), None)] + [(F.substring_index("host", ".", -k), k) for k in counts]
+    for i, (key, k) in enumerate(keys):
+        part = table if k is None else table.filter(labels == k)
+        part = broadcast_if_small(part.select(F.col("domain").alias("_key"), F.lit(True).alias(f"_hit{i}")), bound)
+        df = df.join(part, key == F.col("_key"), "left").drop("_key")
+    host, reg, under = U.Listed.COLUMNS
+    hits = [F.coalesce(F.col(f"_hit{i}"), F.lit(False)) for i in range(len(keys))]
+    return df.withColumns({host: hits[0], reg: hits[1], under: reduce(lambda a, b: a | b, hits[2:])}).drop(
+        *[f"_hit{i}" for i in range(len(keys))])
+
+
 def exact_match(df: DataFrame, dim: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Add ``is_known``: host or registered domain is in the dictionary.
 

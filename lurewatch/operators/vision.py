@@ -38,20 +38,30 @@ def _tensor(data: bytes, h: int, w: int, c: int, size: int) -> np.ndarray:
     return x.transpose(2, 0, 1).ravel()
 
 
-def _parts(batches: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
-    """A few images at a time, with their tensors."""
+def _parts(batches: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[pd.DataFrame, list[tuple[np.ndarray | None, str | None]]]]:
+    """A few images at a time, with their tensors or errors."""
     for whole in batches:
         for i in range(0, len(whole), IMAGES):
             pdf = whole.iloc[i:i + IMAGES]
-            yield pdf, [_tensor(d, h, w, c, size) for d, h, w, c in
+            yield pdf, [_tensor_or_error(d, h, w, c, size) for d, h, w, c in
                         zip(pdf["data"], pdf["height"], pdf["width"], pdf["n_channels"])]
 
 
+def _tensor_or_error(data: bytes, h: int, w: int, c: int, size: int) -> tuple[np.ndarray | None, str | None]:
+    """A tensor, or why there is none: an unreadable file has a height of -1, a cut one too few bytes."""
+    try:
+        if data is None or min(h, w, c) < 1:
+            raise ValueError("unreadable image")
+        return _tensor(data, int(h), int(w), int(c), size), None
+    except Exception as why:  # one bad image must not end the job
+        return None, str(why) or type(why).__name__
+
+
 def prepare_images(df: DataFrame, size: int = IMAGE_SIZE) -> DataFrame:
-    """Add ``tensor array<float>`` (3*size*size), Arrow batches, no row UDF."""
+    """Add ``tensor array<float>`` (3*size*size), Arrow batches, no row UDF; NULL for an image that can't be read."""
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, tensors in _parts(batches, size):
-            yield pd.DataFrame({"path": pdf["path"], "label": pdf["label"], "tensor": tensors})
+            yield pd.DataFrame({"path": pdf["path"], "label": pdf["label"], "tensor": [t for t, _ in tensors]})
 
     cols = df.select("path", F.col("label").cast("int"), "height", "width", "n_channels", "data")
     return cols.mapInPandas(work, "path string, label int, tensor array<float>")
@@ -63,14 +73,26 @@ Scorer = Callable[[np.ndarray], np.ndarray]
 def score_images(df: DataFrame, scorer: Scorer | None, size: int = IMAGE_SIZE) -> DataFrame:
     """(path, prob, ok, error) from a scorer over an (n, 3, size, size) batch.
 
-    Preparation and scoring are one pass: no tensor leaves the task.  Without a scorer every image gets the neutral 0.5 and ``ok = false``.
+    Preparation and scoring are one pass: no tensor leaves the task.  An image that cannot be read, or that
+    the scorer fails on, gets the neutral 0.5, ``ok = false`` and the reason; the others of its batch keep
+    their scores.  Without a scorer every image gets 0.5 and ``ok = false``.
     """
+    def scored(tensors: list[np.ndarray]) -> list[tuple[float, bool, str | None]]:
+        try:
+            made = np.asarray(scorer(np.stack(tensors).reshape(-1, 3, size, size)), dtype=float).reshape(len(tensors))
+            return [(float(p), True, None) if np.isfinite(p) else (0.5, False, "score is not a number") for p in made]
+        except Exception as why:
+            if len(tensors) == 1:
+                return [(0.5, False, str(why) or type(why).__name__)]
+            return [scored([t])[0] for t in tensors]  # find the image that fails
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, tensors in _parts(batches, size):
-            n = len(pdf)
-            x = np.stack(tensors).reshape(n, 3, size, size)
-            yield pd.DataFrame({"path": pdf["path"], "prob": np.asarray(scorer(x), dtype=float),
-                                "ok": [True] * n, "error": [None] * n})
+            good = [t for t, _ in tensors if t is not None]
+            found = iter(scored(good) if good else [])
+            rows = [next(found) if t is not None else (0.5, False, why) for t, why in tensors]
+            yield pd.DataFrame({"path": pdf["path"].to_numpy(), "prob": [r[0] for r in rows], "ok": [r[1] for r in rows],
+                                "error": [r[2] for r in rows]})
 
     if scorer is None:
         return df.select("path", F.lit(0.5).alias("prob"), F.lit(False).alias("ok"), F.lit("no model").alias("error"))

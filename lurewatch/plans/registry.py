@@ -739,6 +739,15 @@ def model_feature_check(spark, d):
         "source", "_m.model", "n_rows", "_m.accepted")
 
 
+@query("split_exact", O.sql(
+    "SELECT source, seq, c.label, n > (total * 200 + 500) // 1000 AS is_train FROM corpus c JOIN ("
+    "SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(url || '|' || label || '|42')) AS n, "
+    "count(*) OVER (PARTITION BY label) AS total FROM (SELECT DISTINCT url, label FROM corpus)) r "
+    "ON c.url = r.url AND c.label = r.label"))
+def split_exact(spark, d):
+    return K.split_exact(P.corpus(spark, d)).select(*KEY, "label", "is_train")
+
+
 @query("split_stratified", O.sql(
     "SELECT source, seq, label, ('0x' || substr(md5(url || '|' || label || '|42'), 1, 8))::BIGINT % 1000 < 800 AS is_train FROM corpus"))
 def split_stratified(spark, d):
