@@ -1174,6 +1174,30 @@ def config_merge(spark, d):
     return T.merge_config(current, patch).select("config_id", *T.CONFIG_FIELDS, "thresholds.*")
 
 
+_PATCH = {"enabled": "CASE WHEN event_id % 4 = 0 THEN event_id % 8 = 0 END", "real_time_check": "CASE WHEN event_id % 36 = 0 THEN event_id % 72 = 0 END",
+          "block_mode": "CASE WHEN event_id % 6 = 0 THEN CASE WHEN event_id % 12 = 0 THEN 'block' ELSE 'alert' END END",
+          "show_badge": "CASE WHEN event_id % 10 = 0 THEN event_id % 20 = 0 END", "fast_path_safe": "CAST(NULL AS DOUBLE)",
+          "fast_path_malicious": "CASE WHEN event_id % 14 = 0 THEN 0.9e0 END",
+          "safe_threshold": "CASE WHEN event_id % 22 = 0 THEN 0.2e0 + event_id % 7 / 100e0 END", "phishing_threshold": "CASE WHEN event_id % 26 = 0 THEN 0.7e0 END"}
+_START = {"enabled": "true", "real_time_check": "true", "block_mode": "'both'", "show_badge": "true", "fast_path_safe": "0.15e0",
+          "fast_path_malicious": "0.85e0", "safe_threshold": "0.33e0", "phishing_threshold": "0.66e0"}
+
+
+@query("nav_config_asof", O.sql(
+    "SELECT event_id, " + ", ".join(f"coalesce(w_{f}, {_START[f]}) AS {f}" for f in _PATCH) + " FROM ("
+    "SELECT *, " + ", ".join(f"last_value({f} IGNORE NULLS) OVER w AS w_{f}" for f in _PATCH) + " FROM ("
+    "SELECT user_id % 5 AS k, ts, 0 AS kind, event_id, " + ", ".join(f"{x} AS {f}" for f, x in _PATCH.items())
+    + " FROM events WHERE event_id % 2 = 0 UNION ALL "
+    "SELECT user_id % 5, ts, 1, event_id, " + ", ".join("NULL" for _ in _PATCH) + " FROM events) "
+    "WINDOW w AS (PARTITION BY k ORDER BY ts, kind, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE kind = 1",
+    corpora=False))
+def nav_config_asof(spark, d):
+    events = P.load(spark, d, "events").select("event_id", "ts", (F.col("user_id") % 5).alias("config_id"))
+    patches = events.filter("event_id % 2 = 0").select(
+        "config_id", "ts", F.col("event_id").alias("patch_id"), *[F.expr(x).alias(f) for f, x in _PATCH.items()])
+    return T.config_as_of(events, patches).select("event_id", *T.PATCH_FIELDS)
+
+
 PL, LL = O.parsed("links"), O.lex_scores("links")
 RLK, VL = O.rules("links", base="lex_links"), O.verdicts("links")
 

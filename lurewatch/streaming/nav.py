@@ -84,6 +84,47 @@ def merge_config(current: DataFrame, patch: DataFrame, key: str = "config_id") -
         F.struct(*[pick(f"thresholds.{f}").alias(f) for f in THRESHOLD_FIELDS]).alias("thresholds"))
 
 
+#: Fields of a configuration patch as flat columns.
+PATCH_FIELDS = CONFIG_FIELDS + THRESHOLD_FIELDS
+BUCKET_SECONDS = 3600
+
+
+def config_as_of(events: DataFrame, patches: DataFrame, start: ResponseConfig = ResponseConfig(),
+                 key: str = "config_id", bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+    """``events`` with the configuration of their ``key`` in force at their ``ts``, one column for each field.
+
+    ``patches`` has ``key``, ``patch_id``, ``ts`` and ``PATCH_FIELDS``, NULL where a patch leaves a field as it is.
+    Of two patches at one time the one with the larger ``patch_id`` is the later; a patch at the time of an event holds for
+    it.  Before the first patch of a field ``start`` holds; an event with a NULL time gets ``start``; patches with a NULL time are void.
+
+    An as-of join by time buckets: a bucket's events and patches meet in one sorted pass (a running window, so that even a
+    busy key holds no more than one bucket's rows in a task and keeps one row in memory), and what was in force when the bucket began is
+    carried over a table with one row for each key and bucket.
+    """
+    def bucket() -> Column:
+        return F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (bucket_seconds * 1_000_000)).cast("long")
+
+    clash = [c for c in events.columns if c in PATCH_FIELDS]
+    row = F.struct(*[F.col(f"`{c}`") for c in events.columns]).alias("_row")
+    seen = events.select(F.col(key).alias("_k"), bucket().alias("_b"), F.col("ts").alias("_t"), row)
+    given = patches.filter(F.col("ts").isNotNull()).select(
+        F.col(key).alias("_k"), bucket().alias("_b"), F.col("ts").alias("_t"), F.col("patch_id").cast("long").alias("_p"), *PATCH_FIELDS)
+    latest = given.groupBy("_k", "_b").agg(*[
+        F.max(F.when(F.col(f).isNotNull(), F.struct("_t", "_p", f)))[f].alias(f) for f in PATCH_FIELDS])
+    buckets = seen.select("_k", "_b").filter(F.col("_b").isNotNull()).distinct().unionByName(latest, allowMissingColumns=True)
+    buckets = buckets.groupBy("_k", "_b").agg(*[F.max(f).alias(f) for f in PATCH_FIELDS])
+    before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = buckets.select("_k", "_b", *[F.last(f, True).over(before).alias(f) for f in PATCH_FIELDS])
+    parts = (carried.withColumn("_kind", F.lit(0)).unionByName(given.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+             .unionByName(seen.withColumn("_kind", F.lit(2)), allowMissingColumns=True))
+    upto = Window.partitionBy("_k", "_b").orderBy(F.col("_t").asc_nulls_first(), "_kind", "_p").rowsBetween(Window.unboundedPreceding, 0)
+    first = {f: getattr(start, f) for f in CONFIG_FIELDS} | dict(start.thresholds)
+    held = parts.select("_kind", "_row", *[
+        F.coalesce(F.last(f, True).over(upto), F.lit(first[f])).alias(f"_in_{f}") for f in PATCH_FIELDS])
+    return held.filter("_kind = 2").select(
+        *[F.col(f"_row.`{c}`") for c in events.columns if c not in clash], *[F.col(f"_in_{f}").alias(f) for f in PATCH_FIELDS])
+
+
 # --- TTL: a URL is analysed again only when its last analysis is old enough ---
 
 def ttl_dedup_stream(df: DataFrame, ttl_seconds: int = TTL_SECONDS,

@@ -1,4 +1,4 @@
-"""Exact hold-out quotas, reputation tables on streams, images that cannot be read."""
+"""Exact hold-out quotas, reputation tables on streams, configuration as of an event, images that cannot be read."""
 
 import random
 
@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lurewatch.operators import corpus, joins, vision
+from lurewatch.streaming import nav
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 1000])
@@ -67,3 +68,37 @@ def test_bad_images_do_not_end_the_job(spark):
     assert all(r.prob == 0.5 and r.error for r in got.values() if not r.ok) and got["bright"].error == "too bright"
     assert got["dark"].prob < got["grey"].prob and got["dark"].error is None
     assert {r.path for r in vision.prepare_images(df, 8).filter("tensor is null").collect()} == {"cut", "unreadable", "none"}
+
+
+def test_configuration_as_of_an_event(spark):
+    rng = random.Random(4)
+    day = 86_400
+
+    def at(s):
+        return None if s is None else f"2024-01-{1 + s // day:02d} {s % day // 3600:02d}:{s % 3600 // 60:02d}:{s % 60:02d}"
+
+    def when():
+        return rng.choice([rng.randrange(5 * day), 3600 * rng.randrange(40), None])
+
+    patches = [(rng.choice([1, 2, None]), i, when(), rng.choice([None, True, False]), None, rng.choice([None, "block", "alert"]), None,
+                rng.choice([None, rng.random()]), None, None, None) for i in range(60)]
+    events = [(rng.choice([1, 2, 3, None]), i, when()) for i in range(400)]
+    start = nav.ResponseConfig(block_mode="both")
+    p = spark.createDataFrame([(*r[:2], at(r[2]), *r[3:]) for r in patches],
+                              "config_id int, patch_id long, ts string, enabled boolean, real_time_check boolean, block_mode string, "
+                              "show_badge boolean, fast_path_safe double, fast_path_malicious double, safe_threshold double, "
+                              "phishing_threshold double").withColumn("ts", F.col("ts").cast("timestamp"))
+    e = spark.createDataFrame([(*r[:2], at(r[2])) for r in events], "config_id int, event_id long, ts string").withColumn(
+        "ts", F.col("ts").cast("timestamp")).withColumns({"enabled": F.lit("clash"), "_b": F.lit(1), "_k": F.lit(2), "_t": F.lit(3)})
+    want = {}
+    for k, i, t in events:
+        known = sorted((x for x in patches if x[0] == k and x[2] is not None and t is not None and x[2] <= t), key=lambda x: (x[2], x[1]))
+        last = lambda at, other: next((x[at] for x in reversed(known) if x[at] is not None), other)
+        want[i] = (last(3, True), True, last(5, "both"), last(7, start.thresholds["fast_path_safe"]), 0.66)
+    for bucket in (3600, 7, 10 ** 7):
+        got = nav.config_as_of(e, p, start, bucket_seconds=bucket)
+        assert got.columns == ["config_id", "event_id", "ts", "_b", "_k", "_t", *nav.PATCH_FIELDS]
+        assert {r.event_id: (r.enabled, r.real_time_check, r.block_mode, r.fast_path_safe, r.phishing_threshold)
+                for r in got.collect()} == want
+    assert nav.config_as_of(e.limit(0), p, start).count() == 0
+    assert {r.block_mode for r in nav.config_as_of(e, p.limit(0), start).collect()} == {"both"}
