@@ -165,10 +165,10 @@ def stream_ttl_dedup(spark, d):
     return _run(T.ttl_dedup_stream(sites), "nav-ttl")
 
 
-def _actions(spark, d, **switches) -> str:
+def _actions(spark, d, ttl_seconds=None, **switches) -> str:
     base = feeds.work_dir(spark, "nav-actions")
     T.run_actions(_nav_stream(spark, d), f"{base}/verdicts", f"{base}/alerts", f"{base}/checkpoint",
-                  lambda: T.ResponseConfig(**switches)).awaitTermination()
+                  lambda: T.ResponseConfig(**switches), ttl_seconds).awaitTermination()
     return base
 
 
@@ -196,3 +196,18 @@ def stream_actions(spark, d):
     q.awaitTermination()
     return spark.read.parquet(f"{base}/alerts").select(
         "ts", "tab_id", "url", "verdict", "should_block", "should_alert")
+
+
+# A day between analyses, so that the TTL holds back many events of the table.
+@query("stream_actions_ttl", O.sql(
+    "SELECT c.ts, t.tab_id, c.url, v.verdict, v.verdict IN ('Phishing', 'Suspicious') AS should_block, "
+    "v.verdict IN ('Phishing', 'Suspicious') AS should_alert FROM chain c JOIN times t ON t.url = c.url AND t.ts = c.ts "
+    "JOIN (SELECT DISTINCT url, verdict FROM vb_navf) v ON v.url = c.url", NAVF, PN, LN, RN, VN,
+    {"times": "SELECT url, ts, min(tab_id) AS tab_id FROM navf GROUP BY url, ts",
+     "chain": "SELECT url, min(ts) AS ts FROM times GROUP BY url UNION ALL "
+              "SELECT url, ts FROM (SELECT c.url AS url, (SELECT min(k.ts) FROM times k WHERE k.url = c.url AND k.ts >= c.ts + INTERVAL 1 DAY) AS ts "
+              "FROM chain c) WHERE ts IS NOT NULL"}).replace("WITH ", "WITH RECURSIVE ", 1))
+def stream_actions_ttl(spark, d):
+    """Filter, TTL, verdicts and actions of the live checker in their order."""
+    return spark.read.parquet(f"{_actions(spark, d, ttl_seconds=86_400)}/verdicts").select(
+        "ts", "tab_id", "url", "verdict", "should_block", "should_alert")
