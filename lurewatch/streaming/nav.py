@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import partial
+from functools import partial, reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -141,14 +142,14 @@ def ttl_dedup_stream(df: DataFrame, ttl_seconds: int = TTL_SECONDS,
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        stamps: set[int] = set()
-        for pdf in batches:
-            stamps.update(pdf["ts"].astype("datetime64[us]").astype("int64").tolist())
-        found = []
-        for t in sorted(stamps):
-            if last is None or t - last >= ttl_us:
-                found.append(t)
-                last = t
+        # Eight bytes for each event; the chain then hops from analysis to analysis.
+        parts = [np.unique(pdf["ts"].to_numpy("datetime64[us]").astype("int64")) for pdf in batches]
+        stamps = np.unique(np.concatenate(parts)) if parts else np.zeros(0, "int64")
+        found, at = [], 0 if last is None else int(np.searchsorted(stamps, last + ttl_us))
+        while at < len(stamps):
+            last = int(stamps[at])
+            found.append(last)
+            at = int(np.searchsorted(stamps, last + ttl_us))
         state.update((last,))
         expiry = last // 1000 + ttl_seconds * 1000
         state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
@@ -276,20 +277,62 @@ def due(batch: DataFrame, last: DataFrame | None, ttl_seconds: int = TTL_SECONDS
     times = batch.select("url", "ts")
     if last is None:
         return ttl_dedup(times, ttl_seconds)
+    # Only what is known of the URLs of this batch takes part.
+    last = last.select("url", "ts").join(times.select("url").distinct(), "url", "left_semi")
     known = last.select("url", F.col("ts").alias("_last"))
     fresh = times.join(known, "url", "left").filter(F.col("_last").isNull() | (F.col("ts") > F.col("_last"))).select("url", "ts")
-    chain = ttl_dedup(fresh.unionByName(last.select("url", "ts")), ttl_seconds)
-    return chain.join(last.select("url", "ts"), ["url", "ts"], "left_anti")
+    chain = ttl_dedup(fresh.unionByName(last), ttl_seconds)
+    return chain.join(last, ["url", "ts"], "left_anti")
+
+
+#: Micro-batches after which the analyses since the last folding become one table again.
+FOLD = 32
+LATENESS_SECONDS = 600
+
+
+class LastAnalyses:
+    """When each URL was last analysed, as tables below ``path`` that survive executors and restarts.
+
+    A micro-batch writes its own analyses only.  Every ``fold`` batches the tables since the last folding are
+    folded, one row for each URL, and URLs whose analysis is older than the TTL and ``lateness`` seconds before the latest one
+    are dropped: no event in time could be inside their TTL.  An event that comes even later counts as that of an unknown
+    URL.  Folders are overwritten when a batch is repeated.
+    """
+
+    SCHEMA = "url string, ts timestamp"
+
+    def __init__(self, spark: SparkSession, path: str, ttl_seconds: int, fold: int = FOLD, lateness: int = LATENESS_SECONDS):
+        self.spark, self.path, self.keep, self.fold = spark, path, ttl_seconds + lateness, fold
+
+    def _since(self, first: int, batch_id: int) -> DataFrame:
+        paths = [f"{self.path}/folded_id={first}"] * (first > 0) + [f"{self.path}/batch_id={i}" for i in range(first, batch_id)]
+        rows = reduce(DataFrame.unionByName, [self.spark.read.schema(self.SCHEMA).parquet(p) for p in paths])
+        return rows.groupBy("url").agg(F.max("ts").alias("ts"))
+
+    def before(self, batch_id: int) -> DataFrame | None:
+        """``(url, ts)`` as known before a batch; at a folding it is written first."""
+        if batch_id == 0:
+            return None
+        first = batch_id // self.fold * self.fold
+        if first == batch_id:
+            rows = self._since(first - self.fold, batch_id)
+            end = rows.agg(F.max(F.unix_micros("ts"))).first()[0] or 0
+            alive = rows.filter(F.unix_micros("ts") > end - self.keep * 1_000_000)
+            alive.write.mode("overwrite").parquet(f"{self.path}/folded_id={first}")
+        return self._since(first, batch_id)
+
+    def add(self, batch_id: int, analysed: DataFrame) -> None:
+        analysed.groupBy("url").agg(F.max("ts").alias("ts")).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
 
 
 def run_actions(stream: DataFrame, verdict_path: str, alert_path: str, checkpoint: str,
                 read_config: Callable[[], ResponseConfig] = ResponseConfig,
-                ttl_seconds: int | None = None):
+                ttl_seconds: int | None = None, fold: int = FOLD, lateness: int = LATENESS_SECONDS):
     """Write verdicts and alerts per micro-batch, re-reading the config each time.
 
     Order of a batch: navigation filter, TTL, verdicts, actions.  With
     ``ttl_seconds`` a URL is analysed again only when its last analysis is that
-    old; these times are kept below ``checkpoint``, a folder for each batch.
+    old; these times are kept next to ``checkpoint`` (``LastAnalyses``).
     Batches land in ``batch_id=n`` folders that are overwritten on a retry, so
     an executor or driver loss does not duplicate rows.
     """
@@ -297,12 +340,9 @@ def run_actions(stream: DataFrame, verdict_path: str, alert_path: str, checkpoin
         cfg, spark = read_config(), batch.sparkSession
         seen = nav_filter(batch, cfg)
         if ttl_seconds is not None:
-            state, last = f"{checkpoint}-last", None
-            if batch_id > 0:
-                last = spark.read.schema("url string, ts timestamp").parquet(f"{state}/batch_id={batch_id - 1}")
-            analysed = due(seen, last, ttl_seconds)
-            kept = analysed if last is None else analysed.unionByName(last)
-            kept.groupBy("url").agg(F.max("ts").alias("ts")).write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+            known = LastAnalyses(spark, f"{checkpoint}-last", ttl_seconds, fold, lateness)
+            analysed = due(seen, known.before(batch_id), ttl_seconds)
+            known.add(batch_id, analysed)
             first = seen.groupBy("url", "ts").agg(F.min(F.struct(*[c for c in seen.columns if c not in ("url", "ts")])).alias("_e"))
             seen = first.join(analysed, ["url", "ts"]).select("url", "ts", "_e.*").select(*seen.columns)
         rows = nav_actions(browser_verdict(seen, cfg.cascade()), cfg)

@@ -102,3 +102,41 @@ def test_configuration_as_of_an_event(spark):
                 for r in got.collect()} == want
     assert nav.config_as_of(e.limit(0), p, start).count() == 0
     assert {r.block_mode for r in nav.config_as_of(e, p.limit(0), start).collect()} == {"both"}
+
+
+def test_last_analyses_fold_and_expire(spark, tmp_path):
+    known = nav.LastAnalyses(spark, str(tmp_path / "last"), ttl_seconds=100, fold=2, lateness=50)
+
+    def rows(*pairs):
+        return spark.createDataFrame([(u, f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}") for u, s in pairs],
+                                     "url string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+
+    def before(n):
+        return {(r.url, r.ts.minute * 60 + r.ts.second) for r in known.before(n).collect()}
+
+    assert known.before(0) is None
+    known.add(0, rows(("a", 0), ("b", 5)))
+    known.add(0, rows(("a", 0), ("b", 10)))  # a repeated batch replaces what it wrote
+    assert before(1) == {("a", 0), ("b", 10)}
+    known.add(1, rows(("c", 155), ("a", 120)))
+    assert before(2) == {("a", 120), ("b", 10), ("c", 155)}
+    known.add(2, rows(("d", 165)))
+    known.add(3, rows())
+    assert before(4) == before(4) == {("a", 120), ("c", 155), ("d", 165)}  # b is older than the TTL and the lateness
+
+
+def test_actions_with_ttl_over_many_batches(spark, tmp_path):
+    rng = random.Random(2)
+    rows = sorted((rng.randrange(3000), i, 0, f"http://h{rng.randrange(6)}.com/") for i in range(240))
+    made = spark.createDataFrame(rows, "s int, tab_id long, frame_id int, url string").withColumn(
+        "ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("s"))).drop("s").select("ts", "tab_id", "frame_id", "url")
+    start = 1_700_000_000
+    for i in range(5):  # in the order of time, one file a batch
+        part = made.filter(F.unix_seconds("ts").between(start + 600 * i, start + 600 * i + 599))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = nav.read_nav_stream(spark, str(tmp_path / "in"), max_files=1)
+    out = str(tmp_path / "out")
+    nav.run_actions(stream, out, str(tmp_path / "alerts"), str(tmp_path / "cp"), ttl_seconds=300, fold=2, lateness=60).awaitTermination()
+    got = sorted((r.url, r.ts) for r in spark.read.parquet(out).collect())
+    assert (tmp_path / "cp-last" / "folded_id=4").exists()
+    assert got == sorted((r.url, r.ts) for r in nav.ttl_dedup(made, 300).collect())
