@@ -8,7 +8,7 @@ tables are literals and the expansion is an ``explode`` per input row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -52,105 +52,147 @@ def _first(df: DataFrame, cap: int | None, per_word: int) -> DataFrame:
     return df.orderBy(F.floor((F.col("pos") - 1) / per_word), name, "pos").limit(cap)
 
 
+def _swapped() -> Column:
+    return F.transform(_positions(F.length(_brand()) - 1),
+                       lambda i: F.concat(_head(i), _char(i + 1), _char(i), _tail(i + 2)))
+
+
+def _omitted() -> Column:
+    return F.transform(_positions(F.length(_brand())), lambda i: F.concat(_head(i), _tail(i + 1)))
+
+
+def _doubled() -> Column:
+    return F.transform(_positions(F.length(_brand())), lambda i: F.concat(_head(i), _char(i), _tail(i)))
+
+
+def _substituted(table: Sequence[tuple[str, str]]) -> Column:
+    """One character replaced by each of its images, by position then image."""
+    subs = F.array(*[F.struct(F.lit(a).alias("c"), F.lit(b).alias("r")) for a, b in table])
+    return F.flatten(F.transform(_positions(F.length(_brand())), lambda i: F.transform(
+        F.filter(subs, lambda t: t["c"] == _char(i)),
+        lambda t: F.concat(_head(i), t["r"], _tail(i + 1)))))
+
+
+def _character_level() -> Column:
+    """The variants of one name meet in one row, so they are made distinct as an array, without a shuffle."""
+    return F.array_distinct(F.concat(_omitted(), _doubled(), _swapped(), _substituted(C.LEET_SHORT)))
+
+
+def _filled(templates: Sequence[str]) -> Column:
+    """``{brand}`` filled into constant templates, in order."""
+    return F.transform(S.str_array(templates), lambda t: F.replace(t, F.lit("{brand}"), _brand()))
+
+
+def _templates(df: DataFrame, family: str, templates: Sequence[str]) -> DataFrame:
+    return _emit(df, family, _filled(templates))
+
+
+def _hosted(seed: int = 42) -> Column:
+    host = S.pick(C.FREE_HOSTING, F.concat(_brand(), F.lit(f"|host|{seed}")))
+    word = S.pick(C.COMBO_WORDS[:10], F.concat(_brand(), F.lit(f"|word|{seed}")))
+    return F.array(
+        F.concat(F.lit("https://"), _brand(), F.lit("-"), word, F.lit("."), host, F.lit("/login")),
+        F.concat(F.lit("https://"), word, F.lit("-"), _brand(), F.lit("."), host, F.lit("/verify")))
+
+
+def _hosted_sample(n: int = 3, seed: int = 42) -> Column:
+    ranked = F.array_sort(F.transform(S.str_array(C.FREE_HOSTING), lambda h: F.struct(
+        F.md5(F.concat_ws("|", _brand(), h, F.lit(str(seed)))).alias("k"), h.alias("h"))))
+    return F.transform(F.slice(ranked, 1, n), lambda x: F.concat(
+        F.lit("https://"), _brand(), F.lit("-secure."), x["h"], F.lit("/login")))
+
+
+#: The variants of a name by family: every per-name family there is.
+FAMILIES: dict[str, Callable[[], Column]] = {
+    "swap": _swapped,
+    "omission": _omitted,
+    "duplication": _doubled,
+    "leet": lambda: _substituted(C.LEET),
+    "homograph": lambda: _substituted(C.HOMOGRAPHS),
+    "bitsquat": lambda: _substituted([(c, r) for c, images in C.BITFLIPS for r in images]),
+    "char": _character_level,
+    "combo": lambda: _filled([
+        t for w in C.COMBO_SQUAT_WORDS
+        for t in (f"{{brand}}{w}", f"{{brand}}-{w}", f"{w}{{brand}}", f"{w}-{{brand}}")]),
+    "hyphenated": lambda: _filled([t for w in C.COMBO_WORDS[:15] for t in (f"{w}-{{brand}}", f"{{brand}}-{w}")]),
+    "affix": lambda: _filled([
+        t for w in C.AFFIX_PREFIXES for t in (f"{w}{{brand}}", f"{w}-{{brand}}")] + [
+        t for w in C.AFFIX_SUFFIXES for t in (f"{{brand}}{w}", f"{{brand}}-{w}")]),
+    "subdomain": lambda: _filled([t for w in C.SUBDOMAIN_PREFIXES for t in (f"{w}.{{brand}}", f"{w}-{{brand}}")]),
+    "subdomain_abuse": lambda: _filled([
+        t for s in C.SUBDOMAIN_ABUSE_SUBS for d in C.SUBDOMAIN_ABUSE_TLDS
+        for t in (f"{s}.{{brand}}.{d}", f"{{brand}}.{s}.{d}")]),
+    "path": lambda: _filled([
+        f"http://{d}.{t}{p}" for d in C.PATH_PHISH_DOMAINS for t in C.SUSPICIOUS_TLDS[:5]
+        for p in C.PATH_PHISH_PATHS]),
+    "free_hosting": _hosted,
+    "free_hosting_sampled": _hosted_sample,
+}
+
+
+def of_families(df: DataFrame, families: Sequence[str]) -> DataFrame:
+    """The variants of several families, by one explode over an array of families: the names are read once."""
+    each = F.array(*[F.struct(F.lit(f).alias("family"), FAMILIES[f]().alias("variants")) for f in families])
+    keep = df.columns
+    return df.select(*keep, F.explode(each).alias("_f")).select(
+        *keep, F.col("_f.family").alias("family"), F.posexplode("_f.variants").alias("_p", "variant")).select(
+        *keep, "family", (F.col("_p") + 1).alias("pos"), "variant")
+
+
 def swaps(df: DataFrame) -> DataFrame:
     """Two neighbouring characters exchanged."""
-    return _emit(df, "swap", F.transform(
-        _positions(F.length(_brand()) - 1),
-        lambda i: F.concat(_head(i), _char(i + 1), _char(i), _tail(i + 2))))
+    return _emit(df, "swap", _swapped())
 
 
 def omissions(df: DataFrame) -> DataFrame:
     """One character left out."""
-    return _emit(df, "omission", F.transform(
-        _positions(F.length(_brand())), lambda i: F.concat(_head(i), _tail(i + 1))))
+    return _emit(df, "omission", _omitted())
 
 
 def duplications(df: DataFrame) -> DataFrame:
     """One character doubled."""
-    return _emit(df, "duplication", F.transform(
-        _positions(F.length(_brand())), lambda i: F.concat(_head(i), _char(i), _tail(i))))
-
-
-def _substitute(df: DataFrame, family: str, table: Sequence[tuple[str, str]]) -> DataFrame:
-    """One character replaced by each of its images, by position then image."""
-    subs = F.array(*[F.struct(F.lit(a).alias("c"), F.lit(b).alias("r")) for a, b in table])
-    per_pos = F.transform(_positions(F.length(_brand())), lambda i: F.transform(
-        F.filter(subs, lambda t: t["c"] == _char(i)),
-        lambda t: F.concat(_head(i), t["r"], _tail(i + 1))))
-    return _emit(df, family, F.flatten(per_pos))
+    return _emit(df, "duplication", _doubled())
 
 
 def leet(df: DataFrame, table: Sequence[tuple[str, str]] = C.LEET) -> DataFrame:
-    return _substitute(df, "leet", table)
+    return _emit(df, "leet", _substituted(table))
 
 
 def homographs(df: DataFrame) -> DataFrame:
-    return _substitute(df, "homograph", C.HOMOGRAPHS)
+    return _emit(df, "homograph", FAMILIES["homograph"]())
 
 
 def bitsquats(df: DataFrame) -> DataFrame:
-    return _substitute(df, "bitsquat", [(c, r) for c, images in C.BITFLIPS for r in images])
+    return _emit(df, "bitsquat", FAMILIES["bitsquat"]())
 
 
 def char_variants(df: DataFrame) -> DataFrame:
-    """Distinct character-level variants per name (omission, double, swap, leet).
-
-    The variants of one name meet in one row, so they are made distinct as an
-    array, without a shuffle.
-    """
-    def arr(last: Column, make) -> Column:
-        return F.transform(_positions(last), make)
-
-    subs = F.array(*[F.struct(F.lit(a).alias("c"), F.lit(b).alias("r")) for a, b in C.LEET_SHORT])
-    n = F.length(_brand())
-    every = F.concat(
-        arr(n, lambda i: F.concat(_head(i), _tail(i + 1))),
-        arr(n, lambda i: F.concat(_head(i), _char(i), _tail(i))),
-        arr(n - 1, lambda i: F.concat(_head(i), _char(i + 1), _char(i), _tail(i + 2))),
-        F.flatten(arr(n, lambda i: F.transform(
-            F.filter(subs, lambda t: t["c"] == _char(i)),
-            lambda t: F.concat(_head(i), t["r"], _tail(i + 1))))))
-    return _emit(df, "char", F.array_distinct(every))
-
-
-def _templates(df: DataFrame, family: str, templates: Sequence[str]) -> DataFrame:
-    """Fill ``{brand}`` into constant templates, in order."""
-    return _emit(df, family, F.transform(
-        S.str_array(templates), lambda t: F.replace(t, F.lit("{brand}"), _brand())))
+    """Distinct character-level variants per name (omission, double, swap, leet)."""
+    return _emit(df, "char", _character_level())
 
 
 def combos(df: DataFrame) -> DataFrame:
-    return _templates(df, "combo", [
-        t for w in C.COMBO_SQUAT_WORDS
-        for t in (f"{{brand}}{w}", f"{{brand}}-{w}", f"{w}{{brand}}", f"{w}-{{brand}}")])
+    return _emit(df, "combo", FAMILIES["combo"]())
 
 
 def hyphenated(df: DataFrame) -> DataFrame:
-    return _templates(df, "hyphenated", [
-        t for w in C.COMBO_WORDS[:15] for t in (f"{w}-{{brand}}", f"{{brand}}-{w}")])
+    return _emit(df, "hyphenated", FAMILIES["hyphenated"]())
 
 
 def affixes(df: DataFrame) -> DataFrame:
-    return _templates(df, "affix", [
-        t for w in C.AFFIX_PREFIXES for t in (f"{w}{{brand}}", f"{w}-{{brand}}")] + [
-        t for w in C.AFFIX_SUFFIXES for t in (f"{{brand}}{w}", f"{{brand}}-{w}")])
+    return _emit(df, "affix", FAMILIES["affix"]())
 
 
 def subdomains(df: DataFrame) -> DataFrame:
-    return _templates(df, "subdomain", [
-        t for w in C.SUBDOMAIN_PREFIXES for t in (f"{w}.{{brand}}", f"{w}-{{brand}}")])
+    return _emit(df, "subdomain", FAMILIES["subdomain"]())
 
 
 def subdomain_abuse(df: DataFrame) -> DataFrame:
-    return _templates(df, "subdomain_abuse", [
-        t for s in C.SUBDOMAIN_ABUSE_SUBS for d in C.SUBDOMAIN_ABUSE_TLDS
-        for t in (f"{s}.{{brand}}.{d}", f"{{brand}}.{s}.{d}")])
+    return _emit(df, "subdomain_abuse", FAMILIES["subdomain_abuse"]())
 
 
 def paths(df: DataFrame) -> DataFrame:
-    return _templates(df, "path", [
-        f"http://{d}.{t}{p}" for d in C.PATH_PHISH_DOMAINS for t in C.SUSPICIOUS_TLDS[:5]
-        for p in C.PATH_PHISH_PATHS])
+    return _emit(df, "path", FAMILIES["path"]())
 
 
 def urgency(df: DataFrame, cap: int | None = None) -> DataFrame:
@@ -172,20 +214,12 @@ def crypto(df: DataFrame, cap: int | None = None) -> DataFrame:
 
 def free_hosting(df: DataFrame, seed: int = 42) -> DataFrame:
     """Two URLs per name on a seeded free host with a seeded word."""
-    host = S.pick(C.FREE_HOSTING, F.concat(_brand(), F.lit(f"|host|{seed}")))
-    word = S.pick(C.COMBO_WORDS[:10], F.concat(_brand(), F.lit(f"|word|{seed}")))
-    return _emit(df, "free_hosting", F.array(
-        F.concat(F.lit("https://"), _brand(), F.lit("-"), word, F.lit("."), host, F.lit("/login")),
-        F.concat(F.lit("https://"), word, F.lit("-"), _brand(), F.lit("."), host, F.lit("/verify"))))
+    return _emit(df, "free_hosting", _hosted(seed))
 
 
 def free_hosting_sampled(df: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
     """``{brand}-secure`` on ``n`` seeded free hosts per name."""
-    ranked = F.array_sort(F.transform(S.str_array(C.FREE_HOSTING), lambda h: F.struct(
-        F.md5(F.concat_ws("|", _brand(), h, F.lit(str(seed)))).alias("k"), h.alias("h"))))
-    return _emit(df, "free_hosting_sampled", F.transform(
-        F.slice(ranked, 1, n),
-        lambda x: F.concat(F.lit("https://"), _brand(), F.lit("-secure."), x["h"], F.lit("/login"))))
+    return _emit(df, "free_hosting_sampled", _hosted_sample(n, seed))
 
 
 #: Families that need a TLD: scheme and TLD list. Fixed values.
@@ -219,15 +253,24 @@ def assemble(df: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def all_families(df: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
-    """Every per-name family as one union of narrow plans, cut to ``caps`` rows a name where given."""
-    from .corpus import cap_per_group, union_corpora
+    """Every per-name family in one narrow pass, cut to ``caps`` rows a name where given."""
+    from .corpus import cap_per_group
 
-    every = union_corpora(swaps(df), omissions(df), duplications(df), leet(df), homographs(df),
-                          bitsquats(df), combos(df), subdomain_abuse(df), paths(df),
-                          free_hosting(df))
+    every = of_families(df, list(FAMILIES))
     return every if caps is None else cap_per_group(every, caps)
 
 
+def generated_corpus(df: DataFrame, seed: int = 42) -> DataFrame:
+    """Labelled phishing URLs of all families: those of the names, and urgency and coin URLs of the fixed word lists."""
+    from .corpus import union_corpora
+
+    def listed(words: Sequence[str]) -> DataFrame:
+        return df.sparkSession.createDataFrame([(w,) for w in words], "brand string")
+
+    return assemble(union_corpora(all_families(df.select("brand")), urgency(listed(C.URGENCY_TARGETS)),
+                                  crypto(listed(C.CRYPTO_COINS))), seed)
+
+
 def legit_variations(df: DataFrame, n: int = 2, seed: int = 42) -> DataFrame:
     """Legitimate URLs per ``domain``: bare, n paths, sub-domain, sub-domain with path."""
     d = F.col("domain")
@@ -256,11 +299,9 @@ def detect_squats(observed: DataFrame, names: DataFrame, domain: str = "domain_b
     edit-distance loop, so it scales with the size of the brand table as well.
     Names that are themselves protected are not reported as variants.
     """
-    from .corpus import union_corpora
     from .joins import membership
 
-    variants = union_corpora(swaps(names), omissions(names), duplications(names), leet(names),
-                             homographs(names), bitsquats(names), combos(names))
+    variants = of_families(names, ("swap", "omission", "duplication", "leet", "homograph", "bitsquat", "combo"))
     variants = variants.select("brand", "family", "variant").distinct()
     variants = membership(variants, names.select(F.col("brand").alias("variant")), "variant",
                           "left_anti")

@@ -287,16 +287,92 @@ def _brand_array(b: DataFrame, bound: int = LITERAL_BRANDS) -> Column:
                      for r in rows])
 
 
-def nearest_brand(df: DataFrame, brands: DataFrame, domain: str = "domain_base") -> DataFrame:
-    """Nearest brand per distinct domain, first in list order on ties."""
-    table = _brand_array(brands.select("idx", "brand"))
-    scored = F.transform(table, lambda x: F.struct(
+def nearest_brand(df: DataFrame, brands: DataFrame, domain: str = "domain_base", literal: int = LITERAL_BRANDS) -> DataFrame:
+    """Nearest brand per distinct domain, first in list order on ties; a NULL domain has none.
+
+    Tables beyond ``literal`` rows, of any size, give the same rows by ``_nearest_of_many``.
+    """
+    domains = df.select(F.col(domain).alias("domain_base")).distinct()
+    b = brands.select("idx", "brand")
+    if not is_small(b, literal):
+        return _nearest_of_many(domains, b)
+    scored = F.transform(_brand_array(b), lambda x: F.struct(
         F.levenshtein(F.col("domain_base"), x["brand"]).alias("dist"), x["idx"].alias("idx"),
         x["brand"].alias("brand")))
-    best = F.array_min(scored)
-    return (df.select(F.col(domain).alias("domain_base")).distinct()
-            .withColumn("_m", best)
-            .select("domain_base", F.col("_m.brand").alias("brand"), F.col("_m.dist").alias("dist")))
+    return _best_of(domains.withColumn("_best", F.when(F.col("domain_base").isNotNull(), F.array_min(scored))))
+
+
+def _best_of(found: DataFrame) -> DataFrame:
+    return found.select("domain_base", F.col("_best.brand").alias("brand"), F.col("_best.dist").alias("dist"))
+
+
+def _letters(text: str) -> Column:
+    """Which of 63 classes of characters occur, as bits: a text has to change once for each class it lacks."""
+    return F.expr(f"aggregate(filter(split({text}, ''), c -> c <> ''), 0L, (m, c) -> m | shiftleft(1L, ascii(c) % 63))")
+
+
+#: Brands of one length that are compared as one array.
+BRAND_BLOCK = 2_000
+
+
+def _nearest_of_many(domains: DataFrame, brands: DataFrame, block: int = BRAND_BLOCK) -> DataFrame:
+    """Nearest brands out of a table of any size; brands and domains are compared at rising lower bounds.
+
+    Brands within two edits are found by common deletions.  Domains without one are compared with
+    blocks of brands of one length: first of nearly their own length, which gives a distance to beat, then of the other
+    lengths that can still beat or tie with it.  In a block, only brands whose letters allow such a distance are compared.
+    Blocks are dealt by hash and repeated for slices of the domains, so that no task holds more than a block and no length is hot.
+    """
+    from ..sources.feeds import work_dir
+
+    spark = domains.sparkSession
+
+    def saved(df: DataFrame, name: str) -> DataFrame:
+        path = work_dir(spark, f"nearest-{name}")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    once = saved(brands.filter(F.col("brand").isNotNull()).groupBy("brand").agg(F.min("idx").alias("idx")), "brands")
+    # One row for each length of a brand: bounded by the longest name, not by the table.
+    blocks = {r["n"]: -(-r["c"] // block) for r in once.groupBy(F.length("brand").alias("n")).agg(
+        F.count(F.lit(1)).alias("c")).collect()}
+    if not blocks:
+        return domains.select("domain_base", F.lit(None).cast("string").alias("brand"), F.lit(None).cast("int").alias("dist"))
+    known = domains.filter(F.col("domain_base").isNotNull())
+    near = saved(_similar_by_deletions(known, once, 2).groupBy("domain_base").agg(
+        F.min(F.struct("dist", "idx", "brand")).alias("_best")), "near")
+    slices = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // sum(blocks.values())))
+    per_length = F.create_map(*[F.lit(x) for pair in sorted(blocks.items()) for x in pair])
+    dealt = F.pmod(F.xxhash64("brand"), F.element_at(per_length, F.col("_n")))
+    lists = (once.withColumn("_n", F.length("brand")).withColumn("_k", dealt).withColumn("_letters", _letters("brand"))
+             .groupBy("_n", "_k").agg(F.collect_list(F.struct("idx", "brand", "_letters")).alias("_list"))
+             .withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long")))))
+    lists = saved(lists, "blocks")
+
+    def compared(rest: DataFrame, wanted: Column) -> DataFrame:
+        """``rest`` with the best of what it had and of the brands whose length, ``n``, is ``wanted``."""
+        at = (rest.withColumn("_n", F.explode(F.filter(F.lit(sorted(blocks)), lambda n: wanted(n))))
+              .withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), (F.element_at(per_length, F.col("_n")) - 1).cast("long"))))
+              .withColumns({"_s": F.pmod(F.xxhash64("domain_base"), F.lit(slices)), "_own": _letters("domain_base")}))
+
+        def may(x: Column) -> Column:
+            lacks = [F.bit_count(a.bitwiseAND(F.bitwise_not(b))) for a, b in ((F.col("_own"), x["_letters"]), (x["_letters"], F.col("_own")))]
+            return F.greatest(*lacks) <= F.coalesce(F.col("_best.dist"), F.lit(2**31 - 1))
+
+        found = F.array_min(F.transform(F.filter("_list", may), lambda x: F.struct(
+            F.levenshtein(F.col("domain_base"), x["brand"]).alias("dist"), x["idx"].alias("idx"), x["brand"].alias("brand"))))
+        best = at.join(lists, ["_n", "_k", "_s"]).select("domain_base", found.alias("_best"))
+        return rest.unionByName(best).groupBy("domain_base").agg(F.min("_best").alias("_best"))
+
+    def gap(n: Column) -> Column:
+        return F.abs(n - F.length("domain_base"))
+
+    far = known.join(near.select("domain_base"), "domain_base", "left_anti").withColumn(
+        "_best", F.lit(None).cast(near.schema["_best"].dataType))
+    far = saved(compared(saved(far, "far"), lambda n: gap(n) <= 1), "first")
+    far = compared(far, lambda n: (gap(n) > 1) & (gap(n) <= F.coalesce(F.col("_best.dist"), F.lit(2**31 - 1))))
+    return _best_of(near.unionByName(far)).unionByName(domains.filter(F.col("domain_base").isNull()).select(
+        "domain_base", F.lit(None).cast("string").alias("brand"), F.lit(None).cast("int").alias("dist")))
 
 
 def anti_existing(new: DataFrame, existing: DataFrame, key: str = "url") -> DataFrame:

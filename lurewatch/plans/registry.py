@@ -449,6 +449,17 @@ def nearest_brand(spark, d):
     return J.nearest_brand(hosts(spark, d), dims.brands(spark))
 
 
+# The names of the pages as the table to be near to, taken as too large for literals.
+@query("nearest_brand_table", O.sql(
+    f"SELECT domain_base, brand, dist FROM (SELECT domain_base, brand, idx, {O.lev('da', 'brand')} AS dist "
+    "FROM (SELECT DISTINCT domain_base, da FROM p_corpus), "
+    "(SELECT brand, ('0x' || substr(md5(brand), 1, 15))::BIGINT AS idx FROM names)) "
+    "QUALIFY row_number() OVER (PARTITION BY domain_base ORDER BY dist, idx) = 1", PC))
+def nearest_brand_table(spark, d):
+    return J.nearest_brand(hosts(spark, d), P.names(spark, d).select(
+        "brand", F.conv(F.substr(F.md5("brand"), F.lit(1), F.lit(15)), 16, 10).cast("long").alias("idx")), literal=0)
+
+
 @query("antijoin_existing_urls", O.sql(
     "SELECT seq, url, label FROM corpus WHERE source = 'event' AND url NOT IN "
     "(SELECT url FROM corpus WHERE source = 'event' AND label = 0)"))
@@ -1030,19 +1041,29 @@ def gen_free_hosting(spark, d):
     return G.free_hosting(n).unionByName(G.free_hosting_sampled(n)).select("brand", "family", "variant")
 
 
+# By family: how often a variant of a name may repeat is part of the result, so lists keep their order. The character-level
+# union alone is distinct, first occurrence first.
+SQL_CHAR0 = f"list_concat({SQL_OM}, {SQL_DU}, {SQL_SW}, {sql_subs(C.LEET_SHORT)})"
+SQL_CHAR = f"list_filter({SQL_CHAR0}, lambda v, i: list_position({SQL_CHAR0}, v) = i)"
 FAMS = {"swap": SQL_SW, "omission": SQL_OM, "duplication": SQL_DU, "leet": SQL_LEET, "homograph": SQL_HOMO,
-        "bitsquat": SQL_BIT, "combo": sql_templates(COMBO_T), "subdomain_abuse": sql_templates(ABUSE_T),
-        "path": sql_templates(PATH_T), "free_hosting": SQL_FREE}
+        "bitsquat": SQL_BIT, "char": SQL_CHAR, "combo": sql_templates(COMBO_T), "hyphenated": sql_templates(HYPH_T),
+        "affix": sql_templates(AFF_T), "subdomain": sql_templates(SUB_T), "subdomain_abuse": sql_templates(ABUSE_T),
+        "path": sql_templates(PATH_T), "free_hosting": SQL_FREE, "free_hosting_sampled": SQL_FREE3}
 ALLF = {"allf0": " UNION ALL ".join(
     f"SELECT brand, '{f}' AS family, unnest(vs) AS variant, generate_subscripts(vs, 1) AS pos FROM (SELECT brand, {q} AS vs FROM names)"
     for f, q in FAMS.items()),
     "allf": "SELECT * FROM allf0 WHERE pos <= CASE family "
     + " ".join(f"WHEN '{f}' THEN {n}" for f, n in G.FAMILY_CAPS.items()) + " ELSE 2147483647 END"}
 _AKEY = "brand || '|' || family || '|' || pos || '|42'"
-ASSEMBLED = {"assembled": "SELECT brand, family, pos, variant, CASE " + " ".join(
+_URL = "CASE " + " ".join(
     f"WHEN family = '{f}' THEN '{scheme}://' || variant || '.' || {sql_pick(tlds, _AKEY)}"
-    for f, (scheme, tlds) in G.ASSEMBLY.items())
-    + " WHEN starts_with(variant, 'http') THEN variant ELSE 'http://' || variant END AS url, 1 AS label FROM allf0"}
+    for f, (scheme, tlds) in G.ASSEMBLY.items()) + (
+    " WHEN starts_with(variant, 'http') THEN variant WHEN family = 'subdomain' THEN 'https://' || variant || '.com' "
+    "ELSE 'http://' || variant END AS url")
+ASSEMBLED = {"assembled": f"SELECT brand, family, pos, variant, {_URL}, 1 AS label FROM allf0"}
+GENERATED = {"generated": "SELECT family, url, label FROM assembled" + "".join(
+    f" UNION ALL SELECT '{family}', unnest({sql_templates(ts)}), 1 FROM (SELECT unnest({O.lst(words)}) AS brand)"
+    for family, ts, words in (("urgency", URG_T, C.URGENCY_TARGETS), ("crypto", CRY_T, C.CRYPTO_COINS)))}
 
 
 @query("cap_per_group", O.sql("SELECT brand, family, pos, variant FROM allf", ALLF))
@@ -1055,6 +1076,14 @@ def gen_assemble(spark, d):
     return G.assemble(G.all_families(P.names(spark, d)))
 
 
+# Rows and different URLs of each of the 17 generated families of the corpus.
+@query("generated_family_counts", O.sql(
+    "SELECT family, count(*) AS n_rows, count(DISTINCT url) AS n_urls FROM generated GROUP BY family", ALLF, ASSEMBLED, GENERATED))
+def generated_family_counts(spark, d):
+    by_url = G.generated_corpus(P.names(spark, d)).groupBy("family", "url").agg(F.count(F.lit(1)).alias("n"))
+    return by_url.groupBy("family").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_urls"))
+
+
 def _path_pick(tag: str) -> str:
     return sql_pick(C.LEGIT_PATHS, f"domain || '|{tag}|42'")
 
@@ -1076,7 +1105,7 @@ def build_corpus(spark, d) -> DataFrame:
     """Feeds + new generated phishing + legitimate variations, first label wins."""
     base = feeds.union_feeds(_feeds(spark, d))
     # Generated URLs that a feed has already lose to it by priority.
-    new = G.assemble(G.all_families(P.names(spark, d))).select(
+    new = G.generated_corpus(P.names(spark, d)).select(
         "url", "label", F.lit("generated").alias("source"), F.lit(3).alias("priority"))
     legit = G.legit_variations(K.bare_domains(_with_bare(spark, d))).select(
         "url", "label", F.lit("variation").alias("source"), F.lit(4).alias("priority"))
@@ -1088,13 +1117,13 @@ def build_corpus(spark, d) -> DataFrame:
 
 BUILD = {"built": (
     "SELECT url, label, priority FROM (SELECT url, label, priority, seq FROM feed_all UNION ALL "
-    "SELECT url, label, 3, 0 FROM assembled UNION ALL "
+    "SELECT url, label, 3, 0 FROM generated UNION ALL "
     "SELECT url, label, 4, 0 FROM legitv) QUALIFY row_number() OVER (PARTITION BY url ORDER BY priority, seq, label) = 1")}
 
 
 @query("corpus_build", O.sql(
     "SELECT url, label, priority, md5(url || '|' || label || '|42') AS shuffle_key FROM built",
-    UNION_FEEDS, CORPUS2, BARE, LEGITV, ALLF, ASSEMBLED, BUILD))
+    UNION_FEEDS, CORPUS2, BARE, LEGITV, ALLF, ASSEMBLED, GENERATED, BUILD))
 def corpus_build(spark, d):
     return K.shuffle_seeded(build_corpus(spark, d).select("url", "label", "priority"))
 

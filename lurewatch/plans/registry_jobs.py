@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
@@ -26,6 +28,12 @@ def _labelled(spark, d) -> DataFrame:
     return settle(parsed, "is_malformed").filter("not is_malformed").select("url", "label")
 
 
+@lru_cache(maxsize=4)
+def _fitted(spark, d, kind: str) -> TR.TrainResult:
+    """One fit of a kind serves all queries of a session on the same tables."""
+    return TR.train(_labelled(spark, d), kind)
+
+
 def _summary(result) -> DataFrame:
     """What is exact about a fit, and whether it ranks well enough."""
     return result.summary.select("n_samples", "n_features", "model_type", (F.col("auc") >= 0.9).alias("ranks_well"),
@@ -39,27 +47,27 @@ def _summary_sql(kind: str) -> str:
 
 @query("ml_train_gbt", _summary_sql("gbt"))
 def ml_train_gbt(spark, d):
-    return _summary(TR.train(_labelled(spark, d), "gbt"))
+    return _summary(_fitted(spark, d, "gbt"))
 
 
 @query("ml_train_rf", _summary_sql("random_forest"))
 def ml_train_rf(spark, d):
-    return _summary(TR.train(_labelled(spark, d), "random_forest"))
+    return _summary(_fitted(spark, d, "random_forest"))
 
 
 @query("feature_importance_topk")
 def feature_importance_topk(spark, d):
-    return TR.train(_labelled(spark, d), "random_forest").top_features
+    return _fitted(spark, d, "random_forest").top_features
 
 
 @query("train_report")
 def train_report(spark, d):
-    return TR.train(_labelled(spark, d), "gbt").report
+    return _fitted(spark, d, "gbt").report
 
 
 @query("ml_score_batch")
 def ml_score_batch(spark, d):
-    model = TR.train(_labelled(spark, d), "random_forest").model
+    model = _fitted(spark, d, "random_forest").model
     return V.hybrid_verdict(P.corpus(spark, d), scorer=ml_scorer(model)).select(
         *KEY, "url", "verdict", r6(F.col("risk"), "risk"), r6(F.col("lex_prob"), "lex_prob"), "stage")
 
@@ -69,7 +77,7 @@ def ml_score_batch(spark, d):
     f"'{FEATURE_NAMES[0]}' AS first_name, '{FEATURE_NAMES[-1]}' AS last_name, {len(FEATURE_NAMES)} AS n_importances"))
 def model_metadata(spark, d):
     path = feeds.work_dir(spark, "model")
-    TR.save_model(TR.train(_labelled(spark, d), "random_forest"), path)
+    TR.save_model(_fitted(spark, d, "random_forest"), path)
     TR.load_scorer(spark, path)  # refuses a model with other features
     meta = TR.load_metadata(spark, path)
     return meta.select("n_features", "model_type", (F.col("auc") >= 0.9).alias("ranks_well"),

@@ -133,3 +133,31 @@ def test_shuffled_position_is_a_permutation(spark):
     df = spark.range(500).select(F.col("id").cast("string").alias("url"), F.lit(0).alias("label"))
     pos = sorted(r["position"] for r in K.shuffled_position(df).collect())
     assert pos == list(range(1, 501))
+
+
+def test_nearest_of_a_large_brand_table(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda a, b: "".join(rng.choice("abcdefghij-0é") for _ in range(rng.randint(a, b)))
+    brands = [(i, word(1, 9)) for i in range(300)] + [(300, "x" * 40), (301, None), (-1, "abab"), (302, "abab")]
+    domains = [(word(0, 14),) for _ in range(150)] + [("",), (None,), ("abab",), ("abab",), ("z" * 30,), ("é😀",)]
+    table = spark.createDataFrame(brands, "idx long, brand string")
+    df = spark.createDataFrame(domains, "domain_base string")
+    small = J.nearest_brand(df, table.filter("brand is not null"))
+    many = J.nearest_brand(df, table, literal=0)
+    assert many.columns == small.columns and same(small, many)
+    assert same(small, J._nearest_of_many(df.distinct(), table, block=7))
+    assert J.nearest_brand(df, table.limit(0), literal=-1).filter("brand is null and dist is null").count() == df.distinct().count()
+    assert J.nearest_brand(df.limit(0), table, literal=0).isEmpty()
+
+
+def test_families_are_those_of_the_single_generators(spark):
+    from lurewatch.operators import generators as G
+
+    names = spark.createDataFrame([("paypal",), ("a",), ("",), ("o0-l",)], "brand string")
+    single = [G.swaps, G.omissions, G.duplications, G.leet, G.homographs, G.bitsquats, G.char_variants, G.combos, G.hyphenated,
+              G.affixes, G.subdomains, G.subdomain_abuse, G.paths, G.free_hosting, G.free_hosting_sampled]
+    assert len(single) == len(G.FAMILIES)
+    assert same(G.all_families(names), K.union_corpora(*[f(names) for f in single]))
+    urls = G.generated_corpus(names.limit(1))
+    assert urls.select("family").distinct().count() == 17 and urls.filter("url is null or not url like 'http%'").isEmpty()
+    assert urls.filter("family = 'subdomain' and not url like 'https://%.com'").isEmpty()
