@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from .common import give_back
+
 #: Characters of a chunk and of an overlap.
 CHUNK, OVERLAP = 32_768, 256
 #: Characters after a match that the pattern may have looked at.
@@ -115,6 +117,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, chunk: int = CHUNK, overlap:
                 part = batch.slice(i, ROWS)
                 ids = pa.array([_ids(encoding, t) for t in part.column("text").to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
+        batch = part = ids = None
+        give_back()
 
     is_short = F.length("text") <= chunk
     made = texts.filter(is_short).mapInArrow(short, f"doc_id {kind}, ids binary")
@@ -165,6 +169,8 @@ def _encode_long(texts: DataFrame, kind: str, shared, chunk: int, overlap: int)
             ids = pa.array([t.encode() if w else _ids(encoding, t) for t, w in zip(
                 batch.column("text").to_pylist(), batch.column("whole").to_pylist())], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], ids], [*batch.schema.names[:5], "part"])
+        batch = ids = None
+        give_back()
 
     parts = pieces.mapInArrow(encode_pieces, f"doc_id {kind}, copies long, key string, number long, whole boolean, part binary")
 
@@ -194,6 +200,8 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 texts = [b"".join(map(raw, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(texts, pa.binary())],
                                                  [*others, "decoded"])
+        batch = part = texts = raw = None
+        give_back()
 
     kinds = dict(encoded.dtypes)
     return encoded.select(*others).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "decoded binary"]))

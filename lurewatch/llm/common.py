@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -56,3 +60,12 @@ def with_row(df: DataFrame, more: str) -> StructType:
     for field in StructType.fromDDL(more).fields:
         out = out.add(field)
     return out
+
+
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system; workers live on after a task, and would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import packed, unpacked, with_row
+from .common import give_back, packed, unpacked, with_row
 from .labelled import Logistic, sample
 
 #: Words of a window, and bytes of a dictionary at most.
@@ -164,6 +164,8 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
             if counts is not None and len(batch):
                 made = model.logistic.score(np.array([counts(_raw(t.as_py())) for t in batch.column("_text")]))
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(made, pa.float64())], ["_row", "score"])
+        batch = counts = None
+        give_back()
 
     scored = row.mapInArrow(run, with_row(row, "score double"))
     return scored.select(*unpacked([c for c in carry if c != "score"]), "score")
