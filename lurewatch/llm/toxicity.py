@@ -155,16 +155,19 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
     enters the score.  Repeated rows get equal scores; an empty table gives no rows.
     """
     carry = docs.columns if carry is None else carry
-    row = docs.select(packed(carry), F.col("text").alias("_text"))
+    # A text travels once: out of the carried columns where it is one of them.
+    carried = "text" in carry
+    row = docs.select(packed(carry), *([] if carried else [F.col("text").alias("_text")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = model.counter() if model.usable else None
         for batch in batches:
             made = np.zeros(len(batch))
             if counts is not None and len(batch):
-                made = model.logistic.score(np.array([counts(_raw(t.as_py())) for t in batch.column("_text")]))
+                texts = batch.column("_row").field("text") if carried else batch.column("_text")
+                made = model.logistic.score(np.array([counts(_raw(t.as_py())) for t in texts]))
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(made, pa.float64())], ["_row", "score"])
-        batch = counts = None
+        batch = texts = counts = None
         give_back()
 
     scored = row.mapInArrow(run, with_row(row, "score double"))
