@@ -13,12 +13,11 @@ def components(links: DataFrame) -> DataFrame:
     Alternating star steps: first every node ties its larger neighbours to the
     smallest node it sees, then its smaller ones.  The number of links never
     grows, long chains halve, and each round is written to the shared folder.
-    The loop ends when a round changes nothing.
+    The loop ends, perhaps before its first round, when the links are stars.
     """
     edges = links.select("a", "b").filter("a <> b")
     edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    seen = None
-    while True:
+    while not _stars(edges):
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -28,10 +27,14 @@ def components(links: DataFrame) -> DataFrame:
         small = (small.select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .union(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
         edges = stored(small, "cc")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
     # Every node is now tied to its smallest one alone.
     roots = edges.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every larger node ``a`` has one smaller node ``b``, and no node is both."""
+    ends = (edges.select(F.col("a").alias("node"), F.lit(1).alias("tied"), F.lit(0).alias("root"))
+            .union(edges.select("b", F.lit(0), F.lit(1))))
+    both = ends.groupBy("node").agg(F.sum("tied").alias("tied"), F.max("root").alias("root")).filter("tied + root > 1")
+    return both.agg(F.count(F.lit(1))).first()[0] == 0

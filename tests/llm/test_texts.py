@@ -116,6 +116,15 @@ def test_links_of_dense_fingerprints(spark, cell, distance):
         assert {y for y in got if got[y] == got[x]} == group[x]
 
 
+def test_components_of_stars_rings_and_odd_links(spark):
+    links = ([(1, k) for k in range(2, 40)] + [(100 + k, 100 + (k + 1) % 9) for k in range(9)]  # a star, a ring
+             + [(205, 201), (205, 203), (201, 203)] + [(7, 7), (300, 300)]  # a triangle, self-links
+             + [(None, 1), (400, None)] + [(1, 2)] * 3)
+    found = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {k: 1 for k in range(1, 40)} | {100 + k: 100 for k in range(9)} | dict.fromkeys((201, 203, 205), 201)
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     chain = list(range(200))
     random.Random(1).shuffle(chain)
