@@ -144,7 +144,9 @@ def _raw(text: str | None) -> bytes:
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MOST, longest: int = LONGEST) -> Model:
     """A model from at most ``most`` labelled documents of each label (``labels.toxic``), where ``learn`` holds."""
-    return Model(*sample(docs, labels, "toxic", learn, most, longest))
+    model = Model(*sample(docs, labels, "toxic", learn, most, longest))
+    give_back()  # the driver's, of texts and counts
+    return model
 
 
 def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
