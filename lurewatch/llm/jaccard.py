@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import shuffle_width, stored
+from .common import give_back, shuffle_width, stored
 from .components import components
 from .simhash import text_hash
 from .substrings import member
@@ -143,6 +143,7 @@ def prefixes(docs: DataFrame, words: int, share: tuple[int, int], block: int = B
     by_block = _dealt(docs, blocks).groupBy("_block")
 
     def count(rows: pa.Table) -> pa.Table:
+        give_back()  # of the block before
         sets = Sets(rows.column("text").to_pylist(), words)
         grams = np.concatenate([np.zeros(0, _U), *sets.of.values()]) >> _U(16)
         keys, counts = np.unique(grams, return_counts=True)
@@ -157,6 +158,7 @@ def prefixes(docs: DataFrame, words: int, share: tuple[int, int], block: int = B
                          "counts": pa.array([counts[a:b].tobytes() for a, b in parts], pa.binary())})
 
     def shared(rows: pa.Table) -> pa.Table:
+        give_back()  # of the block before
         keys, counts = _unpacked(rows.column("keys").to_pylist()), _joined(rows.column("counts"))
         _, inverse = np.unique(keys, return_inverse=True)
         total = np.bincount(inverse, counts)[inverse]
@@ -174,6 +176,7 @@ def prefixes(docs: DataFrame, words: int, share: tuple[int, int], block: int = B
                          "classes": pa.array(out["classes"], pa.binary())})
 
     def enter(_key, rows: pa.Table, known: pa.Table) -> pa.Table:
+        give_back()  # of the block before
         sets = Sets(rows.column("text").to_pylist(), words)
         keys, classes = _unpacked(known.column("keys").to_pylist()), _joined(known.column("classes"))
         by = np.argsort(keys)

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import packed, shuffle_width, unpacked, with_row
+from .common import give_back, packed, shuffle_width, unpacked, with_row
 from .words import Words
 
 #: Characters of a block of documents, and of the texts whose hashes make up a bucket.
@@ -145,6 +145,7 @@ def deduplicate(docs: DataFrame, width: int = 13, carry: list[str] | None = None
     def windows_of(length: int, before: int | None):
         """Hashes of ``length`` words in the windows that repeat at ``before`` words."""
         def run(rows: pa.Table, known: pa.Table | None) -> pa.Table:
+            give_back()  # of the block before
             part = Block(rows, width)
             at = part.survivors(before, None if known is None else np.sort(_joined(known, "keys", _U)))
             keys, text = part.anchors(length, width)[at], part.words.text[at]
@@ -159,6 +160,7 @@ def deduplicate(docs: DataFrame, width: int = 13, carry: list[str] | None = None
             ["_block", "_bucket", "keys"])
 
     def short_repeats(rows: pa.Table) -> pa.Table:
+        give_back()
         sizes = [len(x) // 8 for x in rows.column("keys").to_pylist()]
         marked = _joined(rows, "keys", _U)
         keys = marked & _KEY
@@ -168,6 +170,7 @@ def deduplicate(docs: DataFrame, width: int = 13, carry: list[str] | None = None
         return _back(rows, sizes, several[inverse], {"keys": keys})
 
     def long_windows(_key, rows: pa.Table, known: pa.Table) -> pa.Table:
+        give_back()  # of the block before
         if not len(rows) or not len(known):
             return long_empty
         part = Block(rows, width)
@@ -184,6 +187,7 @@ def deduplicate(docs: DataFrame, width: int = 13, carry: list[str] | None = None
         c: pa.array([], pa.binary()) for c in ("keys", "checks", "low", "several")}})
 
     def long_repeats(rows: pa.Table) -> pa.Table:
+        give_back()
         sizes = [len(x) // 8 for x in rows.column("keys").to_pylist()]
         keys, checks = _joined(rows, "keys", _U), _joined(rows, "checks", np.uint32)
         low, several = _joined(rows, "low", np.int64), _joined(rows, "several", bool)
@@ -195,6 +199,7 @@ def deduplicate(docs: DataFrame, width: int = 13, carry: list[str] | None = None
         return _back(rows, sizes, (least < low) | several, {"keys": keys, "least": least})
 
     def remove(_key, rows: pa.Table, known: pa.Table) -> pa.Table:
+        give_back()  # of the block before
         part = Block(rows, width)
         words = part.words
         keys, least = _joined(known, "keys", _U), _joined(known, "least", np.int64)
