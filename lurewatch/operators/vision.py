@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 IMAGE_SIZE = 224
@@ -14,6 +15,8 @@ IMAGES = 32
 #: Per-channel (R, G, B) mean and deviation. Fixed values.
 MEAN = (0.485, 0.456, 0.406)
 STD = (0.229, 0.224, 0.225)
+#: The normalised value of each channel and byte.
+LEVELS = (np.arange(256).astype(np.float32) / 255.0 - np.float32(MEAN)[:, None]) / np.float32(STD)[:, None]
 
 
 def read_images(spark, root: str) -> DataFrame:
@@ -33,9 +36,13 @@ def _tensor(data: bytes, h: int, w: int, c: int, size: int) -> np.ndarray:
     px = px[:, :, 2::-1] if c >= 3 else np.repeat(px[:, :, :1], 3, axis=2)
     rows = (np.arange(size) * h) // size
     cols = (np.arange(size) * w) // size
-    x = px[rows][:, cols].astype(np.float32) / 255.0
-    x = (x - np.float32(MEAN)) / np.float32(STD)
-    return x.transpose(2, 0, 1).ravel()
+    # Values are looked up on the smaller of the two pictures.
+    if h * w > size * size:
+        px = px[rows][:, cols]
+    x = np.stack([LEVELS[k][px[:, :, k]] for k in range(3)])
+    if h * w <= size * size:
+        x = x.take(rows, axis=1).take(cols, axis=2)
+    return x.ravel()
 
 
 def _parts(batches: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[pd.DataFrame, list[tuple[np.ndarray | None, str | None]]]]:
@@ -59,12 +66,21 @@ def _tensor_or_error(data: bytes, h: int, w: int, c: int, size: int) -> tuple[np
 
 def prepare_images(df: DataFrame, size: int = IMAGE_SIZE) -> DataFrame:
     """Add ``tensor array<float>`` (3*size*size), Arrow batches, no row UDF; NULL for an image that can't be read."""
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, tensors in _parts(batches, size):
-            yield pd.DataFrame({"path": pdf["path"], "label": pdf["label"], "tensor": [t for t, _ in tensors]})
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), IMAGES):
+                part = batch.slice(i, IMAGES)
+                made = [_tensor_or_error(*row, size)[0] for row in zip(
+                    *(part.column(c).to_pylist() for c in ("data", "height", "width", "n_channels")))]
+                # The values travel as one array, not as a list of arrays that is taken apart again.
+                ends = np.cumsum([0] + [0 if t is None else len(t) for t in made])
+                values = np.concatenate([np.empty(0, np.float32)] + [t for t in made if t is not None])
+                tensors = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values),
+                                                   mask=pa.array([t is None for t in made]))
+                yield pa.record_batch([part.column("path"), part.column("label"), tensors], ["path", "label", "tensor"])
 
     cols = df.select("path", F.col("label").cast("int"), "height", "width", "n_channels", "data")
-    return cols.mapInPandas(work, "path string, label int, tensor array<float>")
+    return cols.mapInArrow(work, "path string, label int, tensor array<float>")
 
 
 Scorer = Callable[[np.ndarray], np.ndarray]
