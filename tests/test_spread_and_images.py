@@ -3,11 +3,16 @@
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
+from lurewatch.functions import features as FE
 from lurewatch.operators import joins as J
+from lurewatch.operators import training as TR
 from lurewatch.operators import vision as VI
+from lurewatch.plans import corpora as P
 from lurewatch.plans import registry_jobs as R
+from lurewatch.plans.registry import QUERIES
 from lurewatch.sources import feeds
 
 
@@ -99,3 +104,59 @@ def test_tensors_leave_as_one_array(spark):
     for path, label, h, w, c, data in rows[:70]:
         assert got[path]["label"] == label
         assert np.array_equal(np.float32(got[path]["tensor"]), _slow(bytes(data), h, w, c, 6))
+
+
+@pytest.fixture
+def one_group(spark, tmp_path):
+    """Tables of one row group over more splits than cores; some rows come twice, some values are NULL."""
+    n = 6_000
+    rng = np.random.default_rng(5)
+    ids = [i if i % 10 else 7 for i in range(n)]
+    pq.write_table(pa.table({
+        "event_id": pa.array(ids, pa.int64()), "ts": pa.array([0] * n, pa.timestamp("us")),
+        "user_id": pa.array([None if i % 97 == 5 else i % 300 for i in range(n)], pa.int64()),
+        "event_type": pa.array([None if i % 89 == 3 else ("view", "click")[i % 2] for i in range(n)]),
+        "value": rng.random(n), "props": [rng.bytes(20).hex() for _ in range(n)]}), tmp_path / "events.parquet")
+    pq.write_table(pa.table({
+        "page_id": pa.array(range(40), pa.int64()), "url": [f"https://www.site{i}.org/p" for i in range(40)],
+        "html": ['<a href="/x">x</a><a href="https://paypa1.com/">y</a>'] * 40}), tmp_path / "pages.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    yield str(tmp_path), n
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_no_task_of_the_corpus_holds_a_whole_row_group(spark, one_group):
+    d, n = one_group
+    cores = spark.sparkContext.defaultParallelism
+    assert spark.read.parquet(f"{d}/events.parquet").rdd.getNumPartitions() >= cores
+    corpus = P.corpus(spark, d)
+    assert corpus.filter("source = 'event'").count() == n and max(_sizes(corpus)) <= 1.2 * n / cores
+
+
+def test_feature_long_makes_a_decimal_once_for_each_value(spark, one_group):
+    d, _ = one_group
+    got = QUERIES["feature_long"](spark, d)
+    v = F.round("value", 6)
+    want = FE.feature_long(P.corpus(spark, d).select("source", "seq", "url")).groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(v != 0).alias("n_nonzero"),
+        F.sum(v.cast("decimal(38,6)")).cast("decimal(38,6)").alias("total"), F.max(v).alias("top"))
+    assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in want.schema]
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "decimal" not in plan[plan.index("Expand"):] and plan.count("Aggregate") == 2
+
+
+def test_the_feature_table_leaves_memory_to_the_trees(spark, monkeypatch):
+    class Kept(Exception):
+        pass
+
+    df = spark.createDataFrame([("http://a.com/", 0), ("http://b.com/", 1)], "url string, label int")
+
+    def persist(self, *level):
+        raise Kept(*level)
+
+    monkeypatch.setattr(type(df), "persist", persist)
+    with pytest.raises(Kept) as seen:
+        TR.train(df)
+    assert seen.value.args and not seen.value.args[0].useMemory and seen.value.args[0].useDisk
