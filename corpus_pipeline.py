@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lurewatch.llm import bpe, mixing, queries, shingles, substrings, toxicity
-from lurewatch.llm.common import stored, table
+from lurewatch.llm.common import small_batches, stored, table
 from lurewatch.llm.labelled import fold
 
 #: A document with this toxicity score or more goes.
 TOXIC = 0.5
+#: Rows of an Arrow batch, each with its whole text, in all stages.
+BATCH = 1000
 #: No stage after the first can be expressed in SQL; the operators are tested against brute force.
 ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier takes for toxic go; all others stay as they are."""
+    small_batches(spark, BATCH)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
     scored = toxicity.score(docs, model)
     return scored.filter(F.col("score") < TOXIC).select(*docs.columns)
@@ -27,12 +30,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Near duplicates have SimHash fingerprints of five-word shingles within two bits, or sets of these
     shingles with a Jaccard similarity of 0.8 or more.
     """
+    small_batches(spark, BATCH)
     return shingles.representatives(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 13 words or more that a document with a smaller id has are cut out; ``n_chars`` follows."""
-    left = substrings.deduplicate(docs, 13, verbatim=True)
+    small_batches(spark, BATCH)
+    left = substrings.deduplicate(docs, 13, verbatim=True, block=shingles.BLOCK, bucket=shingles.BUCKET)
     return left.withColumnRenamed("kept_text", "text").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -43,6 +48,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, ids_sha256, decoded_sha256`` of every row of the mix."""
+    small_batches(spark, BATCH)
     vocabulary = queries.vocabulary()
     back = bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
     return back.select("doc_id", F.expr("CAST(octet_length(ids) / 4 AS BIGINT)").alias("n_tokens"), "ids",

@@ -45,6 +45,16 @@ def ordered_hash(values: Column, buckets: Column | int) -> Column:
     return F.pmod(F.xxhash64(values), F.lit(buckets) if isinstance(buckets, int) else buckets)
 
 
+def small_batches(spark: SparkSession, rows: int) -> None:
+    """From now on Arrow batches of this session hold ``rows`` rows at most; a lower bound that is set already stays.
+
+    By default 10,000 whole texts travel in one, and executors keep the memory of their largest batches.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def packed(columns: list[str]) -> Column:
     """Columns of any name as one column ``_row``, so that they cannot clash with those of an operator."""
     return F.struct(*[F.col(f"`{c}`") for c in columns] or [F.lit(0).alias("none")]).alias("_row")

@@ -16,6 +16,8 @@ from .common import stored
 from .components import components
 
 WORDS, SHARE, DISTANCE = 5, (4, 5), 2
+#: Characters of a block of texts and of a bucket of hashes: half of ``jaccard``'s, as workers of other stages live on beside.
+BLOCK, BUCKET = 2_000_000, 4_000_000
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, distance: int = DISTANCE) -> DataFrame:
@@ -26,7 +28,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: tuple[int, int]
     shingle.  Repeated rows, NULL ids and empty tables are as in ``simhash``.
     """
     close = stored(simhash.near_duplicates(docs, words, distance), "shingles-close")
-    alike = jaccard.near_duplicates(docs, words, share)
+    alike = jaccard.near_duplicates(docs, words, share, BLOCK, BUCKET)
     by_text = close.groupBy("text_hash").agg(F.min("component").alias("_close"))
     both = (alike.groupBy("text_hash").agg(F.min("component").alias("_alike")).filter(F.col("_alike").isNotNull())
             .join(by_text, "text_hash").select(F.xxhash64(F.lit("close"), "_close").alias("a"),
