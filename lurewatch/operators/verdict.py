@@ -182,7 +182,7 @@ def _decide(df: DataFrame, keep: list[str], cfg: dict[str, Column], stage2: bool
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def hybrid_verdict(df: DataFrame, cfg: Config = DEFAULT_CONFIG, scorer: Scorer | None = None,
+def hybrid_verdict(df: DataFrame, cfg: Config = DEFAULT_CONFIG, scorer: Scorer | Column | None = None,
                    stage2_scores: DataFrame | None = None, rules: RuleSet = SERVER_RULES,
                    whitelist: Sequence[str] | DataFrame = C.KNOWN_DOMAINS, url: str = "url",
                    final_stage2: bool = True) -> DataFrame:
@@ -191,14 +191,15 @@ def hybrid_verdict(df: DataFrame, cfg: Config = DEFAULT_CONFIG, scorer: Scorer |
     ``stage2_scores(url, prob, ok, error, screenshot)`` is the visual score
     table; without it the visual stage is off and counts as neutral 0.5.
     ``whitelist`` is a sequence or a table with a ``domain`` column of any size.
+    A ``Column`` as ``scorer`` holds scores that the table brings along.
     """
     keep = df.columns
     gated, whitelist = _gates(df, url, rules, whitelist)
     undecided = ~F.col("is_malformed") & ~F.col("is_whitelisted") & (F.col("rule_score") < 0.5)
-    if scorer is None:
+    if scorer is None or isinstance(scorer, Column):
         # Lazily evaluated only where it is read: decided rows never need it.
-        ready = gated.withColumn(
-            "lex_prob", F.when(undecided, heuristic_score(whitelist=whitelist)))
+        score = heuristic_score(whitelist=whitelist) if scorer is None else scorer
+        ready = gated.withColumn("lex_prob", F.when(undecided, score))
     else:
         # One pass decides; the model sees only the rest.
         rest = scorer(gated.filter(undecided))
