@@ -147,6 +147,13 @@ def test_feature_long_makes_a_decimal_once_for_each_value(spark, one_group):
     assert "decimal" not in plan[plan.index("Expand"):] and plan.count("Aggregate") == 2
 
 
+def test_feature_long_adds_up_the_decimal_of_every_url(spark, one_group):
+    plan = QUERIES["feature_long"](spark, one_group[0])._jdf.queryExecution().optimizedPlan().toString()
+    first = plan[plan.rindex("Aggregate ["):].splitlines()[0]  # the one that reads the rows
+    keys, _, sums = first.partition("],")
+    assert "value" not in keys and "decimal(38,6)" in sums and "round(value" in sums
+
+
 def test_the_feature_table_leaves_memory_to_the_trees(spark, monkeypatch):
     class Kept(Exception):
         pass
