@@ -30,6 +30,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that shuffles and sorts both sides, whatever sizes Spark expects.
+
+    Spark takes an exploded table for as small as it was before, and a Parquet table for as small as its
+    compressed files, and so may send a side that grows with the input through the driver to all executors.
+    """
+    return df.hint("merge")
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text, NULL counting as empty; keeps no list of words."""
     marks = F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "w")

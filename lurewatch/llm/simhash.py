@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import packed, stored, unpacked
+from .common import merged, packed, stored, unpacked
 from .components import components
 
 SEGMENTS, BITS = 16, 4
@@ -109,7 +109,7 @@ def links(fps: DataFrame, distance: int = 2, cell: int = CELL) -> DataFrame:
     """
     entered = cells(fps)
     sizes = entered.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = stored(entered.join(sizes, "cell"), "simhash-cells")
+    shared = stored(entered.join(merged(sizes), "cell"), "simhash-cells")
     few = shared.filter(F.col("n") <= cell)
     pairs = F.filter(F.flatten(F.transform("_in", lambda x, i: F.transform(
         F.slice("_in", i + 2, F.size("_in")), lambda y: F.when(
@@ -124,11 +124,11 @@ def links(fps: DataFrame, distance: int = 2, cell: int = CELL) -> DataFrame:
         F.array(F.lit(0).cast("long")), one)).alias("_m")).select("fp", F.col("fp").bitwiseXOR(F.col("_m")).alias("_v"))
     if distance < 2:
         changed = changed.filter("fp = _v").unionByName(
-            changed.filter("fp <> _v").join(many.withColumnRenamed("fp", "_v"), "_v", "left_semi"))
+            changed.filter("fp <> _v").join(merged(many.withColumnRenamed("fp", "_v")), "_v", "left_semi"))
         star = changed.select(F.least("fp", "_v").alias("a"), F.greatest("fp", "_v").alias("b"))
     else:
         least = changed.groupBy("_v").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-        star = changed.join(least, "_v").select("a", F.col("fp").alias("b"))
+        star = changed.join(merged(least), "_v").select("a", F.col("fp").alias("b"))
     return found.unionByName(star.filter("a < b")).distinct()
 
 
@@ -144,13 +144,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataF
     marked = stored(fingerprints(docs, words), "simhash-fp")
     nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     joined = components(stored(links(nodes.select("fp"), distance), "simhash-links"))
-    named = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select(
+    named = nodes.join(merged(joined.withColumnRenamed("node", "fp")), "fp", "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("_component"))
     named = stored(named, "simhash-named")
     first = named.groupBy("_component").agg(F.min("first").alias("component_id"))
-    linked = named.join(first, "_component").select("fp", "component_id", F.col("_component").alias("component"))
+    linked = named.join(merged(first), "_component").select("fp", "component_id", F.col("_component").alias("component"))
     # A fingerprint with very many documents is spread over the tasks by AQE's skew join.
-    return marked.join(linked, "fp").select("doc_id", "fp", "text_hash", "component_id", "component")
+    return marked.join(merged(linked), "fp").select("doc_id", "fp", "text_hash", "component_id", "component")
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
